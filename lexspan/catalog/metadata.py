@@ -16,24 +16,24 @@ def _parts(spark, folder):
 
 
 @query("metadata_nodes", LEGAL_SQL + """
-, w as (select doc_id, j, string_split(piece, ' ')[1] as first from body)
+, hd as (select doc_id, j, string_split(piece, ' ')[1] as first from body)
 , n as (select a.*, 'Chương ' || chapter_no || ': Part of ' || c.first as cl, 'Mục ' || section_no || ': Group ' || s.first as sl,
-   'Title ' || a.doc_id as t, h.piece as at
-  from art a join w c on c.doc_id = a.doc_id and c.j = (chapter_no - 1) * 30
-  join w s on s.doc_id = a.doc_id and s.j = (chapter_no - 1) * 30 + (section_no - 1) * 15
+   'Title ' || a.doc_id as t, h.piece as art_title
+  from art a join hd c on c.doc_id = a.doc_id and c.j = (chapter_no - 1) * 30
+  join hd s on s.doc_id = a.doc_id and s.j = (chapter_no - 1) * 30 + (section_no - 1) * 15
   join body h on h.doc_id = a.doc_id and h.j = (article_no - 1) * 5)
 select cast(doc_id as varchar) || '_document' as node_id, 'document' as node_type, null as parent_id, '' as ancestors, md5('Title ' || doc_id) as path from docs
 union all select doc_id || '_chuong_' || chapter_no, 'chuong', doc_id || '_document', doc_id || '_document', md5(t || '>' || cl) from n where j % 30 = 0
 union all select doc_id || '_muc_' || chapter_no || '_' || section_no, 'muc', doc_id || '_chuong_' || chapter_no, doc_id || '_document>' || doc_id || '_chuong_' || chapter_no, md5(t || '>' || cl || '>' || sl) from n where j % 15 = 0
 union all select doc_id || '_dieu_' || article_no, 'dieu', doc_id || '_muc_' || chapter_no || '_' || section_no,
   doc_id || '_document>' || doc_id || '_chuong_' || chapter_no || '>' || doc_id || '_muc_' || chapter_no || '_' || section_no,
-  md5(t || '>' || cl || '>' || sl || '>Điều ' || article_no || ': ' || at) from n where j % 5 = 0
+  md5(t || '>' || cl || '>' || sl || '>Điều ' || article_no || ': ' || art_title) from n where j % 5 = 0
 union all select doc_id || '_khoan_' || article_no || '_' || (j % 5), 'khoan', doc_id || '_dieu_' || article_no,
   doc_id || '_document>' || doc_id || '_chuong_' || chapter_no || '>' || doc_id || '_muc_' || chapter_no || '_' || section_no || '>' || doc_id || '_dieu_' || article_no,
-  md5(t || '>' || cl || '>' || sl || '>Điều ' || article_no || ': ' || at || '>Khoản ' || (j % 5)) from n where j % 5 in (1, 2)
+  md5(t || '>' || cl || '>' || sl || '>Điều ' || article_no || ': ' || art_title || '>Khoản ' || (j % 5)) from n where j % 5 in (1, 2)
 union all select doc_id || '_diem_' || article_no || '_2_a', 'diem', doc_id || '_khoan_' || article_no || '_2',
   doc_id || '_document>' || doc_id || '_chuong_' || chapter_no || '>' || doc_id || '_muc_' || chapter_no || '_' || section_no || '>' || doc_id || '_dieu_' || article_no || '>' || doc_id || '_khoan_' || article_no || '_2',
-  md5(t || '>' || cl || '>' || sl || '>Điều ' || article_no || ': ' || at || '>Khoản 2>Điểm a') from n where j % 5 = 3""")
+  md5(t || '>' || cl || '>' || sl || '>Điều ' || article_no || ': ' || art_title || '>Khoản 2>Điểm a') from n where j % 5 = 3""")
 def nodes(spark, folder):
     outlined, units = _parts(spark, folder)
     docs = legal_texts(spark, folder).select("doc_id", F.concat(F.lit("Title "), "doc_id").alias("title"))
@@ -158,7 +158,7 @@ EFFECT_SQL = """
 with a as (select l_orderkey as doc_id, l_linenumber as n, l_partkey, l_quantity, l_returnflag from lineitem),
 e as (select doc_id, n, l_partkey, l_returnflag = 'A' as eff, l_returnflag = 'N' as tr, cast(l_quantity as bigint) % 28 + 1 as dd from a),
 d as (select doc_id, min(cast('2020-03-' || lpad(cast(dd as varchar), 2, '0') as varchar)) filter (eff and rn = 1) as eff_date, list_sort(list(distinct 'Nghị định số ' || l_partkey || '/2011/NĐ-CP') filter (eff and l_partkey % 2 = 0)) as repl,
-  list(n) filter (tr) as trs from (select *, row_number() over (partition by doc_id, eff order by n, l_partkey) as rn from e) group by doc_id)
+  list(n) filter (tr) as trs from (select *, row_number() over (partition by doc_id, eff order by n, l_partkey * 100 + dd) as rn from e) group by doc_id)
 select doc_id, eff_date as effective_from, coalesce(array_to_string(repl, '|'), '') as replaced, least(3, coalesce(len(trs), 0)) as transitions,
   case when coalesce(len(repl), 0) > 0 then 'co_hieu_luc_va_thay_the_van_ban_khac' when eff_date is not null then 'co_ngay_hieu_luc' else 'chua_xac_dinh' end as validity_status,
   case when eff_date is not null then 'parsed_effective_clause' else 'not_found_in_parsed_text' end as validity_basis,
@@ -171,7 +171,7 @@ def validity(spark, folder):
     day = F.col("l_quantity").cast("long") % 28 + 1
     bodies = line.select(
         F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("string").alias("article_no"),
-        F.col("l_partkey").alias("article_at"),
+        (F.col("l_partkey") * 100 + day).alias("article_at"),
         F.when(F.col("l_returnflag") == "A", "Hiệu lực thi hành").when(F.col("l_returnflag") == "N", "Quy định chuyển tiếp")
         .otherwise("Khác").alias("article_title"),
         F.concat(F.lit("Văn bản này có hiệu lực kể từ ngày "), day, F.lit(" tháng 3 năm 2020"),
@@ -218,7 +218,7 @@ def relations(spark, folder):
 with o as (select o_orderkey, o_orderkey % 2 = 0 and o_custkey % 3 > 0 and o_orderkey % 5 > 0 and o_custkey % 2 = 0 as gate, o_custkey from orders)
 select o_orderkey, case when gate then 'dang_co_hieu_luc' else 'co_ngay_hieu_luc' end as validity_status,
   case when gate and o_custkey % 7 > 0 then '2021-05-01' else '2020-01-01' end as effective_from,
-  case when gate then 'high' else 'medium' end as validity_confidence from o""")
+  case when gate then 'High' else 'medium' end as validity_confidence from o""")
 def validity_override(spark, folder):
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     rows = table(spark, folder, "orders").select(
