@@ -110,6 +110,7 @@ def chunk_rows(spark: SparkSession, folder: str) -> DataFrame:
         pick(("het_hieu_luc", "dang_co_hieu_luc", "co_ngay_hieu_luc", "chua_xac_dinh", "dang_co_hieu_luc"), d).alias("validity_status"),
         F.when(d % 3 > 0, F.concat(2000 + d % 28, F.lit("-01-01"))).alias("effective_from"),
         F.when(d % 6 == 0, F.concat(2010 + d % 20, F.lit("-12-31"))).alias("effective_to"),
+        F.lit(None).cast("string").alias("effective_on"),
         F.concat(F.lit("n"), k).alias("node_id"), F.when(k % 4 == 0, "dieu").otherwise("khoan").alias("node_type"),
         F.when(k % 4 > 0, F.concat(F.lit("n"), k - k % 4)).alias("parent_id"),
         F.concat(F.lit("c"), F.lpad((k - k % 4).cast("string"), 8, "0")).alias("parent_chunk_id"),

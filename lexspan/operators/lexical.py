@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspan.functions import text as tx
-from lexspan.operators.analysis import clause_matches, article_matches, holds  # noqa: F401
+from lexspan.operators.analysis import strings
 from lexspan.operators.temporal import state, within_year_hint
 from lexspan.session import fits
 
@@ -146,37 +146,45 @@ def text_matches(queries: DataFrame, index: DataFrame, small: bool | None = None
     whole = F.when((F.col("n") > 0) & (F.col("found") == F.col("n")), F.col("weight")).otherwise(0.0)
     return per_needle.groupBy("chunk_id", "query_id").agg(
         F.sum(F.col("idf") * _norm(mean_length)).alias("bm25"), F.sum(whole).alias("phrase_score")
-    ).select("query_id", "chunk_id", "bm25", "phrase_score")
+    ).select("query_id", "chunk_id", "bm25", "phrase_score").where("bm25 > 0 or phrase_score > 0")
+
+
+def chunk_features(chunks: DataFrame) -> DataFrame:
+    """What bonuses and filters need to know of a chunk, worked out once per chunk."""
+    get = lambda c: F.col(c) if c in chunks.columns else F.lit(None).cast("string")
+    title = tx.match_form(get("article_title"))
+    code = F.coalesce(get("doc_type") == "bo_luat", F.lit(False))
+    case = F.coalesce(get("document_role") == "case_law", F.lit(False))
+    effect, pledge = F.contains(title, F.lit("hieu luc")), F.contains(title, F.lit("the chap"))
+    return chunks.select(
+        "chunk_id", *[get(c).cast("string").alias(c) for c in ("validity_status", "effective_from", "effective_on", "effective_to")],
+        code.alias("is_code"), case.alias("is_case"), effect.alias("on_effect"), (pledge & code).alias("on_pledge"),
+        F.contains(tx.match_form(index_text(chunks.columns)), F.lit("gia tao")).alias("on_sham"),
+        tx.match_form(get("citation")).startswith("an le so").alias("is_precedent"),
+        tx.match_form(get("article_no")).alias("article_form"), tx.match_form(get("clause_no")).alias("clause_form"),
+        tx.match_tokens(get("citation")).alias("citation_words"),
+    )
 
 
 def context_bonus() -> Column:
-    """Bonuses from question type and chunk fields (needs constraint columns)."""
-    kind, title = F.col("request_type"), tx.match_form(F.col("article_title"))
+    """Bonuses from question type and chunk features."""
+    kind = F.col("request_type")
     plus = lambda test, w: F.when(F.coalesce(test, F.lit(False)), w).otherwise(0.0)
-    clause = F.coalesce(F.array_contains("c_clauses", tx.match_form(F.col("clause_no"))), F.lit(False))
-    sham = F.exists("key_phrases", lambda p: F.contains(tx.match_form(p), F.lit(SHAM)))
+    article = (
+        (F.size("c_articles") == 0) | F.array_contains("c_articles", F.col("article_form"))
+        | (F.array_contains("citation_words", "dieu") & F.arrays_overlap("citation_words", "c_articles"))
+    )
     return (
-        plus((F.size("c_clauses") > 0) & clause & article_matches(F.col("article_no"), F.col("citation"), F.col("c_articles")), 12.0)
-        + plus((kind == "validity_question") & F.contains(title, F.lit("hieu luc")), 4.0)
-        + plus((kind == "validity_question") & F.contains(title, F.lit("the chap")) & (F.col("doc_type") == "bo_luat"), 3.0)
-        + plus((kind == "scenario_application") & (F.col("document_role") == "case_law"), 2.0)
-        + plus((kind == "scenario_application") & (F.col("doc_type") == "bo_luat"), 0.8)
-        + plus(sham & F.contains(tx.match_form(index_text(["text", *META_FIELDS])), F.lit("gia tao")), 5.0)
-        + plus(tx.match_form(F.col("citation")).startswith("an le so") & F.contains(tx.match_form(F.col("normalized_query")), F.lit("an le")), 2.0)
+        plus(F.array_contains("c_clauses", F.col("clause_form")) & article, 12.0)
+        + plus((kind == "validity_question") & F.col("on_effect"), 4.0)
+        + plus((kind == "validity_question") & F.col("on_pledge"), 3.0)
+        + plus((kind == "scenario_application") & F.col("is_case"), 2.0)
+        + plus((kind == "scenario_application") & F.col("is_code"), 0.8)
+        + plus(F.col("asks_sham") & F.col("on_sham"), 5.0)
+        + plus(F.col("is_precedent") & F.col("asks_precedent"), 2.0)
     )
 
 
-def bonus_keys_of_chunks() -> Column:
-    """What can give a chunk a score without any shared word."""
-    title = tx.match_form(F.col("article_title"))
-    return F.array_compact(F.array(
-        F.when(F.col("document_role") == "case_law", "scenario_application"),
-        F.when(F.col("doc_type") == "bo_luat", "scenario_application"),
-        F.when(F.contains(title, F.lit("hieu luc")), "validity_question"),
-        F.when(F.contains(title, F.lit("the chap")) & (F.col("doc_type") == "bo_luat"), "validity_question"),
-    ))
-
-
 def lexical_top(queries: DataFrame, chunks: DataFrame, index: DataFrame, today_year: Column, k: int = TOP,
                 small: bool | None = None) -> DataFrame:
     """Best k chunks per question: half BM25 plus rule score, in time, above zero.
@@ -186,15 +194,12 @@ def lexical_top(queries: DataFrame, chunks: DataFrame, index: DataFrame, today_y
     for questions with fewer than k word matches, so the result is whole.
     """
     matched = text_matches(queries, index, small)
-    columns = [c for c in dict.fromkeys((
-        "chunk_id", "doc_id", "text", *META_FIELDS, "article_no", "clause_no", "doc_type", "document_role",
-        "validity_status", "effective_from", "effective_on", "effective_to")) if c in chunks.columns]
-    fields = chunks.select(*columns)
-    for name in (*META_FIELDS, "effective_on"):
-        if name not in columns:
-            fields = fields.withColumn(name, F.lit(None).cast("string"))
+    fields = chunk_features(chunks)
+    sham = set(SHAM.split())
     asked = queries.select(
-        "query_id", "request_type", "normalized_query", "key_phrases", "c_clauses", "c_articles", "year_hint", "q_year", "historical")
+        "query_id", "request_type", "c_clauses", "c_articles", "year_hint", "q_year", "historical",
+        F.exists("key_phrases", lambda p: F.size(F.array_except(strings(sorted(sham)), tx.match_tokens(p))) == 0).alias("asks_sham"),
+        F.contains(tx.match_form(F.col("normalized_query")), F.lit("an le")).alias("asks_precedent"))
 
     def scored(pairs: DataFrame) -> DataFrame:
         rows = pairs.join(asked, "query_id")
@@ -213,7 +218,11 @@ def lexical_top(queries: DataFrame, chunks: DataFrame, index: DataFrame, today_y
         .where(F.coalesce("n", F.lit(0)) < k)
         .select("query_id", F.col("request_type").alias("bonus_key"))
     )
-    keyed = fields.withColumn("bonus_key", F.explode(F.array_distinct(bonus_keys_of_chunks())))
+    kinds = F.array_compact(F.array(
+        F.when(F.col("is_case") | F.col("is_code"), "scenario_application"),
+        F.when(F.col("on_effect") | F.col("on_pledge"), "validity_question"),
+    ))
+    keyed = fields.withColumn("bonus_key", F.explode(kinds))
     lone = short.join(keyed, "bonus_key").drop("bonus_key").join(matched.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
     filled = scored(lone.withColumns({"bm25": F.lit(0.0), "phrase_score": F.lit(0.0)}))
     both = best.drop("rank").unionByName(filled)
