@@ -110,8 +110,8 @@ def routing(spark, folder):
 
 
 SCORES_SQL = CAND_SQL + """
-, sc as (select query_id, chunk_id, k, case when k % 2 = 0 then round(final * 10, 6) end as metadata, case when k % 3 > 0 then round(final * 7 + qk % 5, 6) end as lexical,
- case when k % 3 > 0 then round(final * 3, 6) end as bm25, case when k % 5 > 1 then round(1 - final, 6) end as vector from cand),
+, sc as (select query_id, chunk_id, k, case when k // 20 % 2 = 0 then round(final * 10, 6) end as metadata, case when k // 20 % 3 > 0 then round(final * 7 + qk % 5, 6) end as lexical,
+ case when k // 20 % 3 > 0 then round(final * 3, 6) end as bm25, case when k // 20 % 5 > 1 then round(1 - final, 6) end as vector from cand),
 mg as (select * from sc where coalesce(metadata, lexical, vector) is not null),
 votes as (unpivot (select query_id, chunk_id, metadata, lexical, bm25, vector from mg) on metadata, lexical, bm25, vector into name kind value score),
 rr as (select query_id, chunk_id, row_number() over (partition by query_id, kind order by score desc, chunk_id) as r from votes),
@@ -120,7 +120,7 @@ fused as (select mg.*, hybrid from mg join (select query_id, chunk_id, sum(1.0 /
 
 
 def long_table(spark, folder):
-    rows = candidates(spark, folder).withColumn("k", F.substring("chunk_id", 2, 9).cast("long")).withColumn("qk", F.substring("query_id", 2, 9).cast("long"))
+    rows = candidates(spark, folder).withColumn("k", F.floor(F.substring("chunk_id", 2, 9).cast("long") / 20)).withColumn("qk", F.substring("query_id", 2, 9).cast("long"))
     rows = rows.withColumns({
         "metadata": F.round(F.col("final") * 10, 6), "lexical": F.round(F.col("final") * 7 + F.col("qk") % 5, 6),
         "bm25": F.round(F.col("final") * 3, 6), "vector": F.round(1 - F.col("final"), 6)})
@@ -152,12 +152,12 @@ def first_cap(spark, folder):
 
 @query("ranking_vector_fallback", SCORES_SQL + """
 , vh as (select query_id, chunk_id, vector, row_number() over (partition by query_id order by vector desc, chunk_id) as rank from sc where vector is not null),
-few as (select query_id, count(*) filter (k % 2 = 0 and k % 35 = 0) as n from cand where request_type in ('citation_lookup', 'validity_question') group by 1)
+few as (select query_id, count(*) filter (k // 20 % 7 = 0) as n from cand where request_type in ('citation_lookup', 'validity_question') group by 1)
 select query_id, chunk_id, vector as score from vh join few using (query_id) where n < 8 and rank <= 16""")
 def vector_fallback(spark, folder):
-    rows = candidates(spark, folder).withColumn("k", F.substring("chunk_id", 2, 9).cast("long")).withColumn("vector", F.round(1 - F.col("final"), 6))
+    rows = candidates(spark, folder).withColumn("k", F.floor(F.substring("chunk_id", 2, 9).cast("long") / 20)).withColumn("vector", F.round(1 - F.col("final"), 6))
     hits = rk.top_by(rows.where("k % 5 > 1"), ["query_id"], [F.desc("vector"), "chunk_id"], 32)
-    found = rk.long_scores(rows.where("k % 2 = 0 and k % 35 = 0").withColumn("metadata", F.col("final")), "metadata", ["metadata"])
+    found = rk.long_scores(rows.where("k % 7 = 0").withColumn("metadata", F.col("final")), "metadata", ["metadata"])
     out = rk.vector_fallback(rk.routed(question_rows(spark, folder)), found, hits)
     return out.select("query_id", "chunk_id", "score")
 
