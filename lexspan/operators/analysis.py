@@ -191,7 +191,11 @@ def source_types(text: Column) -> Column:
     return F.array_compact(F.array(*[F.when(holds(text, c), F.lit(t)) for t, c in SOURCE_PHRASES]))
 
 
-def scenario_terms(haystack: Column) -> Column:
+def scenario_terms(haystack: Column, plain: Column) -> Column:
+    """Terms found in the question, else in its folded form.
+
+    Both arguments should be plain columns: each is read once per variant.
+    """
     def hits(text):
         return F.array_compact(F.array(*[
             F.when(
@@ -202,7 +206,7 @@ def scenario_terms(haystack: Column) -> Column:
         ]))
 
     found = hits(haystack)
-    return F.when(F.size(found) > 0, found).otherwise(hits(tx.fold(haystack)))
+    return F.when(F.size(found) > 0, found).otherwise(hits(plain))
 
 
 def _folded(text: str) -> str:
@@ -261,7 +265,7 @@ def analyse(questions: DataFrame) -> DataFrame:
     df = questions.withColumn("normalized_query", normal_query(F.col("raw_query")))
     df = df.withColumns({"_hay": tx.casefold(F.col("normalized_query")), "_plain": tx.match_form(F.col("normalized_query"))})
     df = df.withColumns({
-        "scenario_terms": scenario_terms(F.col("_hay")),
+        "scenario_terms": scenario_terms(F.col("_hay"), F.col("_plain")),
         "_articles": all_matches(F.col("normalized_query"), ARTICLE_MENTION),
         "_documents": all_matches(F.col("normalized_query"), DOCUMENT_MENTION),
     })
