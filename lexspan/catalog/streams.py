@@ -4,7 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from lexspan.catalog.registry import query, table
+from lexspan.catalog.registry import query
 from lexspan.functions import text as tx
 from lexspan.operators import chunking as ck
 from lexspan.session import scratch_dir
@@ -12,7 +12,7 @@ from lexspan.streaming import flows, limits
 
 
 def source(spark, folder, name):
-    schema = table(spark, folder, name).schema
+    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 

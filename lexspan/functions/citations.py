@@ -39,16 +39,29 @@ def mentions(haystack: Column, needle: Column) -> Column:
     ).otherwise((plain != "") & bounded(tx.match_form(haystack), plain))
 
 
-def _number_rules(observed: Column, expected: Column) -> Column:
-    docs, arts, clauses = (found(expected, p) for p in (DOCUMENT_NUMBER, ARTICLE_NUMBER, CLAUSE_NUMBER))
+def numbers(form: Column) -> Column:
+    """Document, article and clause numbers of a folded citation."""
+    return F.struct(
+        found(form, DOCUMENT_NUMBER).alias("docs"), found(form, ARTICLE_NUMBER).alias("articles"),
+        found(form, CLAUSE_NUMBER).alias("clauses"),
+    )
+
+
+def numbers_agree(observed: Column, expected: Column) -> Column:
+    """The rule on `numbers` of both sides; numbers worked out once per row serve many pairs."""
+    docs, arts, clauses = expected["docs"], expected["articles"], expected["clauses"]
     return (
-        ((F.size(docs) == 0) | F.arrays_overlap(docs, found(observed, DOCUMENT_NUMBER)))
-        & (F.size(F.array_except(arts, found(observed, ARTICLE_NUMBER))) == 0)
-        & (F.size(F.array_except(clauses, found(observed, CLAUSE_NUMBER))) == 0)
+        ((F.size(docs) == 0) | F.arrays_overlap(docs, observed["docs"]))
+        & (F.size(F.array_except(arts, observed["articles"])) == 0)
+        & (F.size(F.array_except(clauses, observed["clauses"])) == 0)
         & (F.size(docs) + F.size(arts) + F.size(clauses) > 0)
     )
 
 
+def _number_rules(observed: Column, expected: Column) -> Column:
+    return numbers_agree(numbers(observed), numbers(expected))
+
+
 def citation_matches(observed: Column, expected: Column) -> Column:
     """Routing variant: containment must respect word borders."""
     obs, exp = tx.match_form(observed), tx.match_form(expected)

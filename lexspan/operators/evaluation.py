@@ -79,9 +79,13 @@ def citation_pairs(observed: DataFrame, expected: DataFrame, loose: bool = True)
 
     `observed`: case_id, rank, citation. `expected`: case_id, exp_no, expected.
     """
-    match = ct.citation_matches_loose if loose else ct.citation_matches
-    return observed.join(expected, "case_id").where(match(F.col("citation"), F.col("expected"))).select(
-        "case_id", "rank", "exp_no", "expected")
+    form = tx.report_form if loose else tx.match_form
+    left = observed.select("case_id", "rank", form(F.col("citation")).alias("_o")).withColumn("_on", ct.numbers(F.col("_o")))
+    right = expected.select("case_id", "exp_no", "expected", form(F.col("expected")).alias("_e")).withColumn("_en", ct.numbers(F.col("_e")))
+    o, e = F.col("_o"), F.col("_e")
+    inside = (F.contains(o, e) | F.contains(e, o)) if loose else (ct.bounded(o, e) | ct.bounded(e, o))
+    rows = left.where(o != "").join(right.where(e != ""), "case_id")
+    return rows.where(inside | ct.numbers_agree(F.col("_on"), F.col("_en"))).select("case_id", "rank", "exp_no", "expected")
 
 
 def reciprocal_rank(cases: DataFrame, pairs: DataFrame) -> DataFrame:

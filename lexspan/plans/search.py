@@ -63,12 +63,13 @@ def rank(pairs: DataFrame, queries: DataFrame, chunks: DataFrame, targets: DataF
     """Filters, fusion, two reranks with one-hop expansion, and the final order."""
     rerank = rk.feature_rerank if features else rk.deterministic_rerank
     rows = with_fields(pairs, queries, chunks)
+    rows = materialize(rows)
     kept = rk.filter_exact_precedents(rk.filter_exact_lookups(rows, targets))
     scores = kept.select(*pairs.columns)
     fused = materialize(rk.fuse(scores))
     order = [F.desc(F.round("hybrid", 9)), F.col("chunk_id")]
     first = rk.top_by(fused, ["query_id"], order, rk.FIRST_CAP).drop("rank")
-    initial = rk.diversify(rerank(with_fields(first, queries, chunks)), max(k, rk.MIN_FIRST))
+    initial = materialize(rk.diversify(rerank(with_fields(first, queries, chunks)), max(k, rk.MIN_FIRST)))
     more = rk.expand(initial, chunks)
     sources = fused.join(more, ["query_id", "chunk_id"], "full_outer") if "cross_ref" not in fused.columns else fused.drop("cross_ref").join(
         more, ["query_id", "chunk_id"], "full_outer")

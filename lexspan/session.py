@@ -54,3 +54,17 @@ def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 def fixed_rows(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     """A constant rule table (size fixed by the code, so safe to broadcast)."""
     return F.broadcast(spark.createDataFrame(rows, schema))
+
+
+def spread(df: DataFrame, min_bytes: int = 1 << 20) -> DataFrame:
+    """Rows over all cores when a scan gives fewer tasks than there are cores.
+
+    One file with one row group is one task, however many cores wait. Large
+    inputs have more tasks than cores and pass through without a shuffle.
+    """
+    context = df.sparkSession.sparkContext
+    plan = df._jdf.queryExecution()
+    if int(str(plan.optimizedPlan().stats().sizeInBytes())) < min_bytes:
+        return df
+    tasks = plan.toRdd().getNumPartitions()
+    return df.repartition(context.defaultParallelism) if tasks < context.defaultParallelism else df
