@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lexspan.functions import text as tx
 from lexspan.operators.analysis import strings
 from lexspan.operators.temporal import state, within_year_hint
-from lexspan.session import fits
+from lexspan.session import fits, materialize
 
 # ---- fixed values ---------------------------------------------------------
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -210,7 +210,9 @@ def lexical_top(queries: DataFrame, chunks: DataFrame, index: DataFrame, today_y
 
     direct = scored(matched.join(fields, "chunk_id"))
     place = Window.partitionBy("query_id").orderBy(F.desc("lexical"), "chunk_id")
-    best = direct.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
+    # The k rows per question are few: kept, so that the matches behind them are
+    # worked out once and the lone chunks are looked for only when some are needed.
+    best = materialize(direct.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k))
     short = (
         queries.where(F.col("request_type").isin("scenario_application", "validity_question"))
         .select("query_id", "request_type")
@@ -218,6 +220,8 @@ def lexical_top(queries: DataFrame, chunks: DataFrame, index: DataFrame, today_y
         .where(F.coalesce("n", F.lit(0)) < k)
         .select("query_id", F.col("request_type").alias("bonus_key"))
     )
+    if short.isEmpty():
+        return best
     kinds = F.array_compact(F.array(
         F.when(F.col("is_case") | F.col("is_code"), "scenario_application"),
         F.when(F.col("on_effect") | F.col("on_pledge"), "validity_question"),

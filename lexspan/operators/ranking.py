@@ -13,7 +13,7 @@ from lexspan.functions import text as tx
 from lexspan.operators import analysis as an
 from lexspan.operators.lexical import TERM_ROWS
 from lexspan.operators.temporal import state, within_year_hint
-from lexspan.session import fits
+from lexspan.session import fits, materialize
 
 # ---- fixed values ---------------------------------------------------------
 TOP, FALLBACK_TOP, FALLBACK_BELOW = 32, 16, 8
@@ -168,7 +168,7 @@ def metadata_top(queries: DataFrame, chunks: DataFrame, today_year: Column, k: i
         F.when(F.col("clause_form") != "", combos(cited, "cit:")).otherwise(an.strings()),
     ))
     keyed = profiles.select("chunk_id", *PROFILE, F.explode(F.array_distinct(keys)).alias("key"))
-    kept = top_by(keyed, ["key", *PROFILE], ["chunk_id"], k).drop("rank")
+    kept = materialize(top_by(keyed, ["key", *PROFILE], ["chunk_id"], k).drop("rank"))
 
     # Questions of the same kind share their base ranking: rank it once.
     kind = ("request_type", "year_hint", "q_year", "historical", "source_priority", "source_preference", "legal_roles",
@@ -192,9 +192,10 @@ def metadata_top(queries: DataFrame, chunks: DataFrame, today_year: Column, k: i
     by_document = asked.select("query_id", F.explode("c_docs").alias("doc_id")).join(profiles.select("doc_id", "chunk_id"), "doc_id").select(
         "query_id", "chunk_id")
     hits = field_hits(asked, chunks)
-    candidates = by_kind.unionByName(by_number).unionByName(by_document).unionByName(hits.select("query_id", "chunk_id")).distinct()
+    found = by_kind.unionByName(by_number).unionByName(by_document).withColumn("field_score", F.lit(None).cast("double"))
+    candidates = found.unionByName(hits).groupBy("query_id", "chunk_id").agg(F.max("field_score").alias("field_score"))
 
-    rows = candidates.join(profiles, "chunk_id").join(asked.drop("raw_query"), "query_id").join(hits, ["query_id", "chunk_id"], "left")
+    rows = candidates.join(profiles, "chunk_id").join(asked.drop("raw_query"), "query_id")
     own = F.coalesce(F.array_contains("c_articles", F.col("article_form")), F.lit(False))
     named = F.array_contains("citation_words", "dieu") & F.arrays_overlap("citation_words", "c_articles")
     clause = F.coalesce(F.array_contains("c_clauses", F.col("clause_form")), F.lit(False))

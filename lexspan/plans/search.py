@@ -31,7 +31,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame, index: DataFrame, targets: D
     """
     routed = rk.routed(queries)
     lexical = lx.lexical_top(routed.where("use_lexical"), chunks, index, today_year)
-    metadata = rk.metadata_top(routed.where("use_metadata"), chunks, today_year)
+    metadata = materialize(rk.metadata_top(routed.where("use_metadata"), chunks, today_year))
     frames = [
         rk.long_scores(lexical, "lexical", ["lexical", "bm25"]), rk.long_scores(metadata, "metadata", ["metadata"]),
     ]
@@ -43,12 +43,12 @@ def retrieve(queries: DataFrame, chunks: DataFrame, index: DataFrame, targets: D
         times = chunks.select("chunk_id", "validity_status", "effective_from", "effective_on", "effective_to")
         dated = hits.join(times, "chunk_id").join(routed.select("query_id", "q_year", "historical", "year_hint", "use_vector"), "query_id")
         current = (tp.state(F.col("q_year"), today_year) != "expired") | F.col("historical")
-        kept = dated.where(current & tp.within_year_hint())
+        kept = materialize(dated.where(current & tp.within_year_hint()))
         frames.append(rk.long_scores(kept.where("use_vector"), "vector", ["vector"]))
         frames.append(rk.vector_fallback(routed, rk.union_all(frames), kept.where("not use_vector").select("query_id", "chunk_id", "vector", "rank")))
     inside = targets.where(F.col("request_type") != "out_of_scope")
     frames.append(rk.long_scores(rk.explicit_anchors(inside, chunks), "exact_target", ["metadata", "exact_target"]))
-    return rk.merge_scores(rk.union_all(frames))
+    return materialize(rk.merge_scores(rk.union_all(frames)))
 
 
 def with_fields(pairs: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
