@@ -152,12 +152,12 @@ def first_cap(spark, folder):
 
 @query("ranking_vector_fallback", SCORES_SQL + """
 , vh as (select query_id, chunk_id, vector, row_number() over (partition by query_id order by vector desc, chunk_id) as rank from sc where vector is not null),
-few as (select query_id, count(*) filter (k // 20 % 7 = 0) as n from cand where request_type in ('citation_lookup', 'validity_question') group by 1)
+few as (select query_id, count(*) filter (k // 20 % (5 + qk % 7) = 0) as n from cand where request_type in ('citation_lookup', 'validity_question') group by 1)
 select query_id, chunk_id, vector as score from vh join few using (query_id) where n < 8 and rank <= 16""")
 def vector_fallback(spark, folder):
     rows = candidates(spark, folder).withColumn("k", F.floor(F.substring("chunk_id", 2, 9).cast("long") / 20)).withColumn("vector", F.round(1 - F.col("final"), 6))
     hits = rk.top_by(rows.where("k % 5 > 1"), ["query_id"], [F.desc("vector"), "chunk_id"], 32)
-    found = rk.long_scores(rows.where("k % 7 = 0").withColumn("metadata", F.col("final")), "metadata", ["metadata"])
+    found = rk.long_scores(rows.where(F.col("k") % (5 + F.substring("query_id", 2, 9).cast("long") % 7) == 0).withColumn("metadata", F.col("final")), "metadata", ["metadata"])
     out = rk.vector_fallback(rk.routed(question_rows(spark, folder)), found, hits)
     return out.select("query_id", "chunk_id", "score")
 
