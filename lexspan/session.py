@@ -28,14 +28,21 @@ def get_session(app: str = "lexspan", master: str | None = None, **conf: str) ->
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Shared folder for lineage cuts: the cluster's own, else one for this run."""
+    """Shared folder for lineage cuts and files: the one that `spark.checkpoint.dir` names.
+
+    Only a master of one machine may do without, and gets a folder of its own then.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    spark.sparkContext.setCheckpointDir(f"file://{folder}")
+    return f"file://{folder}"
 
 
 def materialize(df: DataFrame, eager: bool = True) -> DataFrame:
