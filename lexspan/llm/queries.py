@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspan.llm import byte_bpe, token_store
-from lexspan.llm.scratch import fresh_folder
+from lexspan.llm import byte_bpe, fingerprints, simhash_dedup, token_store
+from lexspan.llm.scratch import fresh_folder, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,3 +48,17 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_folder(spark, "tokens")
     token_store.write(table(spark, sf_dir, "documents"), folder, file_of("word_bpe_49k.json").decode(), end_id=1)
     return token_store.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose fingerprints of three-word shingles differ in three bits at most."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = stored(simhash_dedup.fingerprints(docs).select("doc_id", "fp"), "simhash")
+    return simhash_dedup.group(marked).select("doc_id", simhash_dedup.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and its near documents."""
+    return fingerprints.describe(table(spark, sf_dir, "documents"))
