@@ -2,7 +2,10 @@
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexspan.session import scratch_dir
 
@@ -18,3 +21,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     folder = fresh_folder(spark, name)
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Arrow hand texts to Python in batches that stay small even where texts are long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, str(rows))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of `value`, computed once: in a lambda, a column is computed for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
