@@ -18,6 +18,9 @@ alike; without labels of both kinds the evidence is 0 and the prior one half; an
 table gives no rows; columns named like the results are replaced.
 """
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,8 +73,6 @@ def learn(marked: DataFrame, labels: DataFrame, doc_id: str, label: str, size: i
         own = [row for row in rows if row.feature == feature]
         good, bad = sum(row.good for row in own), sum(row.bad for row in own)
         if good and bad:
-            import math
-
             for row in own:
                 out[feature, row.bin] = round(math.log((row.good + 0.5) / (good + 0.5 * len(own))) - math.log((row.bad + 0.5) / (bad + 0.5 * len(own))), ROUND)
     return out
@@ -80,7 +81,7 @@ def learn(marked: DataFrame, labels: DataFrame, doc_id: str, label: str, size: i
 def _evidence(bins: Column, model: dict[tuple[int, int], float]) -> Column:
     table = [[model.get((feature, which), 0.0) for which in range(BINS)] for feature in range(len(FEATURES))]
     weights = F.split(F.lit(",".join(str(one) for row in table for one in row)), ",").cast("array<double>")
-    return sum((F.get(weights, F.lit(k * BINS) + F.get(bins, F.lit(k))) for k in range(len(FEATURES))), F.lit(0.0))
+    return let(bins, lambda own: sum((F.get(weights, F.lit(k * BINS) + F.get(own, F.lit(k))) for k in range(len(FEATURES))), F.lit(0.0)))
 
 
 def _strength(sites: DataFrame, prior: Column) -> float:
@@ -96,34 +97,55 @@ def _strength(sites: DataFrame, prior: Column) -> float:
     return STRONGEST if own <= 0 else min(STRONGEST, max(WEAKEST, 1 / own - 1))
 
 
-def classify(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang", label: str = "quality") -> DataFrame:
-    """doc_id, host, path, evidence, host_prior, path_prior, quality_score (0 to 1).
+@dataclass
+class Model:
+    """Evidence of each feature's bins (40 at most), and a stored table of the sites' priors."""
 
-    `labels` has doc_id and a label of 1 (good) or 0.
-    """
-    known = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.avg(F.col(label).cast("double")).alias("label"))
-    marked = stored(
-        df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), features(F.col(text)).alias("bins")),
-        "features",
+    weights: dict[tuple[int, int], float]
+    priors: DataFrame
+    middle: float
+
+
+def _sites(host: str, path: str) -> list[Column]:
+    return [F.coalesce(F.col(one).cast("string"), F.lit("")).alias(name) for one, name in ((host, "host"), (path, "path"))]
+
+
+def fit(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang", label: str = "quality") -> Model:
+    """Learn evidence and priors; `labels` has doc_id and a label of 1 (good) or 0."""
+    known = stored(
+        labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.avg(F.col(label).cast("double")).alias("label")),
+        "labels",
     )
-    known = stored(known, "labels")
-    model = learn(marked, known, "doc_id", "label")
+    marked = stored(df.select(F.col(doc_id).alias("doc_id"), *_sites(host, path), features(F.col(text)).alias("bins")), "features")
+    weights = learn(marked, known, "doc_id", "label")
     total = known.agg(F.sum("label").alias("good"), F.count("*").alias("n")).first()
     base = ((total.good or 0.0) + 0.5) / (total.n + 1.0) if total.n else 0.5
-    judged = marked.select("doc_id", "host", "path", F.round(_evidence(F.col("bins"), model), ROUND).alias("evidence"))
-    odds = F.lit(base / (1 - base))
-    expected = odds * F.exp("evidence") / (1 + odds * F.exp("evidence"))
+    odds = F.lit(base / (1 - base)) * F.exp(_evidence(F.col("bins"), weights))
     # Expected labels are summed as whole millionths, so that the order of the sum says nothing.
-    millionths = F.round(F.coalesce("label", expected) * 1e6).cast("long")
-    paths = stored(judged.join(known, "doc_id", "left").groupBy("host", "path").agg(F.count("*").alias("n"), (F.sum(millionths) / 1e6).alias("good")), "paths")
+    millionths = F.round(F.coalesce("label", odds / (1 + odds)) * 1e6).cast("long")
+    paths = stored(marked.join(known, "doc_id", "left").groupBy("host", "path").agg(F.count("*").alias("n"), (F.sum(millionths) / 1e6).alias("good")), "paths")
     whole = paths.agg(F.sum("good").alias("good"), F.sum("n").alias("n")).first()
-    middle = min(max((whole.good or 0) / whole.n, 1e-6), 1 - 1e-6) if whole.n else 0.5
+    middle = min(max((whole.good or 0) / whole.n, 1e-6), 1 - 1e-6) if whole.n else base
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     a = _strength(hosts, F.lit(middle))
-    shrunk = hosts.select("host", ((F.col("good") + a * middle) / (F.col("n") + a)).alias("host_prior"))
-    within = paths.join(shrunk, "host")
+    within = paths.join(hosts.select("host", ((F.col("good") + a * middle) / (F.col("n") + a)).alias("host_prior")), "host")
     b = _strength(within, F.col("host_prior"))
-    priors = stored(within.select(F.col("host").alias("host_"), F.col("path").alias("path_"), F.round("host_prior", ROUND).alias("host_prior"), F.round((F.col("good") + b * F.col("host_prior")) / (F.col("n") + b), ROUND).alias("path_prior")), "priors")
+    priors = within.select("host", "path", F.round("host_prior", ROUND).alias("host_prior"), F.round((F.col("good") + b * F.col("host_prior")) / (F.col("n") + b), ROUND).alias("path_prior"))
+    return Model(weights, stored(priors, "priors"), middle)
+
+
+def score(df: DataFrame, model: Model, text: str = "text", host: str = "source", path: str = "lang") -> DataFrame:
+    """Add evidence, host_prior, path_prior and quality_score (0 to 1) to each row.
+
+    A site that the model has not seen has the global prior. The priors' table has a row
+    for each site; the join broadcasts it only if it is small.
+    """
+    added = ["evidence", "host_prior", "path_prior", "quality_score"]
+    known = model.priors.select(F.col("host").alias("_host_"), F.col("path").alias("_path_"), "host_prior", "path_prior")
+    own_host, own_path = _sites(host, path)
+    rows = df.drop(*added).withColumns({"_host": own_host, "_path": own_path, "evidence": F.round(_evidence(features(F.col(text)), model.weights), ROUND)})
+    joined = rows.join(known, (F.col("_host") == F.col("_host_")) & (F.col("_path") == F.col("_path_")), "left")
+    either = {name: F.coalesce(name, F.lit(round(model.middle, ROUND))) for name in ("host_prior", "path_prior")}
     prior = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("path_prior")))
-    score = 1 / (1 + F.exp(-(F.col("evidence") + F.ln(prior / (1 - prior)))))
-    return judged.join(priors, (F.col("host") == F.col("host_")) & (F.col("path") == F.col("path_"))).select("doc_id", "host", "path", "evidence", "host_prior", "path_prior", F.round(score, ROUND).alias("quality_score"))
+    whole = joined.withColumns(either).withColumn("quality_score", F.round(1 / (1 + F.exp(-(F.col("evidence") + F.ln(prior / (1 - prior))))), ROUND))
+    return whole.drop("_host", "_path", "_host_", "_path_")

@@ -80,8 +80,9 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posterior quality of every document, with its source and language as host and path."""
-    judged = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return judged.withColumn("keep", F.col("quality_score") >= 0.5)
+    docs = table(spark, sf_dir, "documents")
+    judged = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return judged.select("doc_id", "evidence", "host_prior", "path_prior", "quality_score", (F.col("quality_score") >= 0.5).alias("keep"))
 
 
 #: The tables hold no fetch times and no lists. Page ids stand for the order of the

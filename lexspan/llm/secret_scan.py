@@ -120,8 +120,8 @@ def train(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int =
     return {row.pair: row.score for row in rows}
 
 
-def scan(df: DataFrame, model: dict[str, int], text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """Add `found`: array of (kind, start, end) by start, then kind in the order of KINDS."""
+def scan(df: DataFrame, model: dict[str, int], text: str = "text", threshold: int = THRESHOLD, out: str = "found") -> DataFrame:
+    """Add `out`: array of (kind, start, end) by start, then kind in the order of KINDS."""
     whole = F.coalesce(F.col(text), F.lit(""))
     base = base_spans(whole)
     near = {kind: F.col(f"_{kind}") for kind in base}
@@ -154,7 +154,7 @@ def scan(df: DataFrame, model: dict[str, int], text: str = "text", threshold: in
     parts = [ranked(spans, kind) for kind, spans in enumerate([*near.values(), added])]
     names = F.array(*[F.lit(kind) for kind in KINDS])
     ordered = F.transform(F.array_sort(F.concat(*parts)), lambda s: F.struct(F.get(names, s["kind"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return marked.withColumn("found", ordered).drop("_runs", *[f"_{kind}" for kind in base])
+    return marked.withColumn(out, ordered).drop("_runs", *[f"_{kind}" for kind in base])
 
 
 def joined(found: Column, kinds: tuple[str, ...] = KINDS) -> Column:

@@ -123,9 +123,11 @@ def links(fps: DataFrame, radius: int = 3, fp: str = "fp") -> DataFrame:
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def group(df: DataFrame, radius: int = 3, doc_id: str = "doc_id", fp: str = "fp", out: str = "component_id") -> DataFrame:
+def group(df: DataFrame, radius: int = 3, doc_id: str = "doc_id", fp: str = "fp", out: str = "component_id", root: str | None = None) -> DataFrame:
     """Add `out`, the smallest document id that links reach from a row's fingerprint.
 
+    `root`, if named, is added too: the component's least fingerprint, never null.
+
     `df` is read several times: it should be a stored table of ids and fingerprints.
     """
     fps = stored(df.groupBy(F.col(fp).alias("fp")).agg(F.min(doc_id).alias("first")), "fps")
@@ -133,5 +135,5 @@ def group(df: DataFrame, radius: int = 3, doc_id: str = "doc_id", fp: str = "fp"
     known = fps.join(found, fps.fp == found.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     labels = known.groupBy("root").agg(F.min("first").alias("label"))
     # Stored, so that the join below shuffles both sides and can split a fingerprint of many copies.
-    of = stored(known.join(labels, "root").select(F.col("fp").alias("fp_"), F.col("label").alias(out)), "labels")
-    return df.drop(out).join(of, F.col(fp) == F.col("fp_")).drop("fp_")
+    of = stored(known.join(labels, "root").select(F.col("fp").alias("fp_"), F.col("label").alias(out), F.col("root").alias(root or "root_")), "labels")
+    return df.drop(out, root or "root_").join(of, F.col(fp) == F.col("fp_")).drop("fp_", "root_")
