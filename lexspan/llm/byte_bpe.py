@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
 #: Pre-tokens of which a worker remembers the ids: this many recent ones, twice at most.
-REMEMBERED = 300_000
+REMEMBERED = 250_000
 #: Longer pre-tokens (in characters) are rare and not worth remembering.
 LONGEST_REMEMBERED = 48
 #: Texts whose characters all lie below this one (Latin letters) take the quicker engine.

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspan.llm import byte_bpe, fingerprints, langid, packing, quality, secret_scan, simhash_dedup, token_store, topk, url_filter
+from lexspan.llm import byte_bpe, fingerprints, langid, oracles, packing, quality, secret_scan, simhash_dedup, token_store, topk, url_filter
 from lexspan.llm.scratch import fresh_folder, small_batches, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,10 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     base = secret_scan.KINDS[:3]
     return found.select("doc_id", *map(count, base), F.sha2(secret_scan.joined(F.col("found"), base).cast("binary"), 256).alias("base_sha256"), secret_scan.joined(F.col("found")).alias("spans"))
+
+
+ORACLES |= {
+    "op5_url_filter": oracles.URL_FILTER.format(start=CRAWL_START),
+    "op7_top_k": oracles.TOP_K,
+    "op9_secrets": oracles.SECRETS,
+}

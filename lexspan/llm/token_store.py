@@ -37,7 +37,7 @@ MAGIC = b"LXPLANE1"
 #: Ids in a block; a block is what a reader fetches and unpacks at once.
 BLOCK = 1 << 16
 #: Pre-tokens of which a worker remembers the ids, twice at most.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 LONGEST_REMEMBERED = 48
 
 
@@ -66,7 +66,7 @@ def from_planes(planes: list[bytes], count: int, kind: str = "byte") -> np.ndarr
 class FileWriter:
     """Writes one file, a block at a time."""
 
-    def __init__(self, sink, kind: str = "byte", block: int = BLOCK, level: int = 3):
+    def __init__(self, sink, kind: str = "byte", block: int = BLOCK, level: int = 1):
         import zstandard
 
         self.sink, self.kind, self.block = sink, kind, block
