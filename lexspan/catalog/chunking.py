@@ -30,6 +30,25 @@ def recursive_split(spark, folder):
     return parts.select("doc_id", "part_no", F.length("part").alias("chars"), F.md5("part").alias("digest"))
 
 
+@query("chunking_split_properties", """
+select doc_id, true as within_size, true as in_order, true as whole from documents where text is not null and regexp_matches(text, '[^\\s]')""")
+def split_properties(spark, folder):
+    """Of every text: no part is longer than the size and the last gap, parts stand in it in order, and no word is missing."""
+    docs = table(spark, folder, "documents").where("text rlike '[^\\\\s]'")
+    parts = docs.withColumn("parts", ck.parts_of(F.col("text")))
+    bare = lambda c: F.regexp_replace(c, r"[.]+$", "")
+    words = lambda c: F.array_distinct(F.transform(F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " "), bare))
+    # Each part must stand in what follows the start of the part before it.
+    step = lambda left, part: F.when(F.contains(left, bare(part)), F.substring(left, F.instr(left, bare(part)), F.length(left)))
+    in_order = F.aggregate("parts", F.col("text"), step).isNotNull()
+    return parts.select(
+        "doc_id",
+        F.forall("parts", lambda part: F.length(part) <= ck.CHUNK_SIZE + 2).alias("within_size"),
+        in_order.alias("in_order"),
+        (F.size(F.array_except(words(F.col("text")), words(F.array_join("parts", " ")))) == 0).alias("whole"),
+    )
+
+
 @query("chunking_clauses", HEAD_SQL + """
 select doc_id || '_dieu_' || article_no || '_khoan_' || k as chunk_id, cast(doc_id as varchar) as doc_id, md5(text) as digest,
  doc_id || '_khoan_' || article_no || '_' || k as node_id, doc_id || '_dieu_' || article_no as parent_id,

@@ -1,6 +1,5 @@
 """Source and sink queries: what is written is read back."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -71,7 +70,11 @@ def upsert(spark, folder):
     changed = current.where(F.col("c_custkey") % 3 == 0).withColumn("c_mktsegment", F.lit("NEW"))
     added = current.where(F.col("c_custkey") % 10 == 0).select(
         (F.col("c_custkey") + 1000000000).alias("c_custkey"), F.lit("ADDED").alias("c_mktsegment"))
-    return tb.upsert(current, changed.unionByName(added), ["c_custkey"])
+    # Each change comes three times, the middle one last.
+    changes = changed.unionByName(added)
+    every = changes.withColumn("seq", F.lit(2)).unionByName(changes.withColumns({"c_mktsegment": F.lit("ZZZ"), "seq": F.lit(1)}))
+    every = every.unionByName(changes.withColumns({"c_mktsegment": F.lit("AAA"), "seq": F.lit(0)}))
+    return tb.upsert(current, every, ["c_custkey"], "seq").select("c_custkey", "c_mktsegment")
 
 
 @query("sources_replace_by_key", """
@@ -110,13 +113,17 @@ def snapshot(spark, folder):
 
 
 @query("sources_manifest", """
-select 'embed' as stage, 'input' as side, 'documents' as path, count(*) as rows from documents
-union all select 'embed', 'output', 'embeddings', count(*) from embeddings""")
+select 'embed' as stage, 'input' as side, 'documents' as path, count(*) as rows, 64 as digest_size, true as same_in_any_order from documents
+union all select 'embed', 'output', 'embeddings', count(*), 64, true from embeddings""")
 def manifest(spark, folder):
-    side = lambda name: table(spark, folder, name).agg(F.count("*").alias("rows")).select(
-        F.lit(name).alias("path"), "rows", F.sha2(F.col("rows").cast("string"), 256).alias("digest"))
+    def side(name):
+        rows = table(spark, folder, name)
+        digest, again = tb.content_digest(rows), tb.content_digest(rows.repartition(7))
+        return rows.agg(F.count("*").alias("rows")).select(F.lit(name if digest == again else "differs").alias("path"), "rows", F.lit(digest).alias("digest"))
+
     path = tb.write_manifest(tb.manifest("embed", side("documents"), side("embeddings")), _folder(spark), _folder(spark))
-    return spark.read.schema("stage string, side string, path string, rows long").json(path)
+    read = spark.read.schema("stage string, side string, path string, rows long, digest string").json(path)
+    return read.select("stage", "side", "path", "rows", F.length("digest").alias("digest_size"), (F.col("path") != "differs").alias("same_in_any_order"))
 
 
 @query("sources_table_copy", """
@@ -160,13 +167,46 @@ def report_markdown(spark, folder):
 
 
 @query("sources_registry_file", """
-select p_partkey as idx, 'd' || p_partkey as doc_id, p_brand as aliases from part""")
+select row_number() over (partition by p_partkey // 100 order by p_partkey) - 1 as idx, 'd' || p_partkey as doc_id, p_brand as aliases from part""")
 def registry_file(spark, folder):
-    """Registry files written one per brand as JSON lists, then scanned."""
+    """A registry file for each hundred parts, every other one a bare list."""
+    path = _folder(spark)
+    entry = F.struct("p_partkey", F.concat(F.lit("d"), "p_partkey").alias("doc_id"), F.array("p_brand").alias("aliases"))
+    lists = table(spark, folder, "part").groupBy(F.floor(F.col("p_partkey") / 100).alias("g")).agg(F.sort_array(F.collect_list(entry)).alias("documents"))
+    value = F.when(F.col("g") % 2 == 0, F.to_json("documents")).otherwise(F.to_json(F.struct("documents")))
+    lists.select(value.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    rows = tb.read_registry(spark, path, "doc_id string, aliases array<string>")
+    return rows.select(F.col("idx").cast("long").alias("idx"), "doc_id", F.array_join("aliases", "|").alias("aliases"))
+
+
+@query("sources_evaluation_set", """
+select event_type || user_id // 100 as dataset_name, row_number() over (partition by event_type, user_id // 100 order by user_id) - 1 as case_no, 'u' || user_id as case_id, 'q' || user_id as query
+from (select distinct event_type, user_id from events) l""")
+def evaluation_set(spark, folder):
+    """A file for each set of up to a hundred users, with a byte-order mark, cases in order."""
+    path = _folder(spark)
+    cases = table(spark, folder, "events").select("event_type", "user_id").distinct()
+    case = F.struct("user_id", F.concat(F.lit("u"), "user_id").alias("case_id"), F.concat(F.lit("q"), "user_id").alias("query"))
+    name = F.concat("event_type", F.floor(F.col("user_id") / 100).cast("string")).alias("dataset_name")
+    sets = cases.groupBy(name).agg(F.sort_array(F.collect_list(case)).alias("cases"))
+    lines = sets.select(F.concat(F.lit("\ufeff"), F.to_json(F.struct("dataset_name", "cases"))).alias("value"))
+    lines.write.option("maxRecordsPerFile", 1).text(path)
+    rows = tb.read_eval_set(spark, path, "case_id string, query string")
+    return rows.select("dataset_name", F.col("case_no").cast("long").alias("case_no"), "case_id", "query")
+
+
+@query("sources_report_json", """
+with m as (select event_type, user_id, round(avg(value), 6) as v from events group by 1, 2)
+select event_type as dataset_name, 'case' as part, 'u' || user_id as id, v as score from m
+union all select event_type, 'summary', cast(count(*) as varchar), round(avg(v), 6) from m group by 1""")
+def report_json(spark, folder):
+    cases = table(spark, folder, "events").groupBy(F.col("event_type").alias("dataset_name"), "user_id").agg(F.round(F.avg("value"), 6).alias("score")).select(
+        "dataset_name", F.col("user_id").alias("case_no"), F.concat(F.lit("u"), "user_id").alias("case_id"), F.concat(F.lit("q"), "user_id").alias("query"),
+        "score", (F.col("score") >= 25).alias("passed"), F.array().cast("array<string>").alias("notes"))
+    reports = cases.groupBy("dataset_name").agg(
+        F.count("*").alias("total_cases"), F.avg(F.col("passed").cast("double")).alias("pass_rate"), F.avg("score").alias("average_score"))
+    metrics = reports.select("dataset_name", F.lit("mrr").alias("metric"), F.round("average_score", 6).alias("value"))
     path = _folder(spark)
-    part = table(spark, folder, "part")
-    part.select(F.concat(F.lit('[{"doc_id": "d'), "p_partkey", F.lit('", "aliases": ["'), "p_brand", F.lit('"], "n": '), "p_partkey", F.lit("}]")).alias("value")).write.text(path)
-    rows = spark.read.text(path)
-    entry = "array<struct<doc_id: string, aliases: array<string>, n: bigint>>"
-    return rows.select(F.inline(F.from_json("value", entry))).select(
-        F.col("n").alias("idx"), "doc_id", F.array_join("aliases", "|").alias("aliases"))
+    tb.report_json(reports, metrics, cases).write.parquet(path)
+    parsed = spark.read.parquet(path).withColumn("j", F.from_json("json", "case_id string, total_cases long, score double, metrics map<string,double>"))
+    return parsed.select("dataset_name", "part", F.coalesce("j.case_id", F.col("j.total_cases").cast("string")).alias("id"), F.coalesce("j.score", F.col("j.metrics")["mrr"]).alias("score"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections import deque
+import re
+from bisect import bisect_left, bisect_right
 from functools import reduce
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,42 +28,68 @@ PRECEDENT_PARTS = (
 # ---------------------------------------------------------------------------
 
 
+def _spans(text: str, separator: str) -> list[tuple[int, int]]:
+    """Where the pieces between separators lie; single characters without a separator."""
+    if not separator:
+        return [(i, i + 1) for i in range(len(text))]
+    stops = [m.start() for m in re.finditer(re.escape(separator), text)]
+    return list(zip([0, *(at + len(separator) for at in stops)], [*stops, len(text)], strict=True))
+
+
+def _packs(widths: list[int], gap: int, size: int, overlap: int) -> list[tuple[int, int]]:
+    """Ranges of pieces, none wider than `size`, that share a part.
+
+    With `reach[i]` the width of all pieces before i, a gap after each, the pieces a to
+    b - 1 are `reach[b] - reach[a] - gap` wide, so both ends are found by bisection. A
+    piece still fits if it does so before its gap is counted. The next part starts at
+    the first piece from which the tail is within the overlap and leaves room.
+    """
+    reach = [0, *accumulate(width + gap for width in widths)]
+    out, a = [], 0
+    while a < len(widths):
+        b = max(a + 1, bisect_right(reach, size + reach[a] + 2 * gap) - 1)
+        out.append((a, b))
+        if b >= len(widths):
+            break
+        room = min(overlap, size - widths[b])
+        a = max(a + 1, bisect_left(reach, reach[b] - gap - room, a, b + 1))
+        # A tail of no width stays, though there may be no room.
+        if a == b and widths[b - 1] == 0:
+            a = b - 1
+    return out
+
+
 def split_long(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, separators=SEPARATORS) -> list[str]:
-    """Cut text at the coarsest separator present and pack pieces up to `size`.
+    """Parts of a text, cut at the coarsest separator present and packed up to `size`.
 
-    A full pack is emitted and its tail, at most `overlap` long, opens the next
-    one. A piece that is too long by itself is cut by the finer separators. The
-    sentence separator leaves a full stop on every piece, the last one too.
+    Neighbouring parts share whole pieces of up to `overlap` characters. A piece that is
+    too long by itself ends a part and is cut by the finer separators. The sentence
+    separator leaves a full stop on every piece, the last one too. Parts are trimmed,
+    empty ones left out.
     """
     if not text:
         return []
-    at = next(i for i, s in enumerate(separators) if s == "" or s in text)
-    gap = separators[at]
-    finer = separators[at + 1:] if gap else ()
-    sentence = gap == ". "
-    pieces = (p + "." if sentence else p for p in (text.split(gap) if gap else text))
-    glue, out, pack, held = (" " if sentence else gap), [], deque(), 0
-
-    def emit():
-        joined = glue.join(pack).strip()
-        if joined:
-            out.append(joined)
-
-    for piece in pieces:
-        full = lambda: held > 0 and held + len(piece) > size  # noqa: E731,B023
-        if full():
-            emit()
-            while pack and (held > overlap or full()):
-                held -= len(gap) * (len(pack) > 1)
-                held -= len(pack.popleft())
-        if len(piece) > size and finer:
-            out.extend(split_long(piece, size, overlap, finer))
-            held = 0
-            continue
-        pack.append(piece)
-        held += len(piece) + len(gap) * (len(pack) > 1)
-    if pack:
-        emit()
+    level = next(i for i, one in enumerate(separators) if one in text)
+    separator, finer = separators[level], separators[level + 1 :]
+    stop = "." if separator == ". " else ""
+    spans = _spans(text, separator)
+    widths = [end - start + len(stop) for start, end in spans]
+    too_long = [i for i, width in enumerate(widths) if width > size and finer]
+    out: list[str] = []
+    begin, blank = 0, []
+    for stop_at in [*too_long, len(spans)]:
+        # An empty piece just before a piece that was cut by itself leads the next run.
+        run = [*blank, *range(begin, stop_at)]
+        for a, b in _packs([widths[i] for i in run], len(separator), size, overlap):
+            own = run[max(a, len(blank)) : b]
+            part = (text[spans[own[0]][0] : spans[own[-1]][1]] + stop).strip() if own else ""
+            if part:
+                out.append(part)
+        if stop_at < len(spans):
+            start, end = spans[stop_at]
+            out += split_long(text[start:end] + stop, size, overlap, finer)
+            blank = run[-1:] if run and widths[run[-1]] == 0 else []
+            begin = stop_at + 1
     return out
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lexspan.functions import text as tx
 from lexspan.operators.analysis import strings
 from lexspan.operators.temporal import state, within_year_hint
-from lexspan.session import fits, materialize
+from lexspan.session import fits
 
 # ---- fixed values ---------------------------------------------------------
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -185,15 +185,46 @@ def context_bonus() -> Column:
     )
 
 
+PROFILE = (
+    "validity_status", "effective_from", "effective_on", "effective_to", "is_code", "is_case", "on_effect", "on_pledge",
+    "on_sham", "is_precedent", "article_form", "clause_form", "citation_words",
+)
+
+
+def lone_profiles(fields: DataFrame, k: int) -> DataFrame:
+    """Chunks that can score by their kind alone, the k first ids of each profile.
+
+    Chunks of one profile score alike for a question, so more of them cannot enter its
+    best k. Only a chunk's clause makes its article and citation matter, and of the
+    citation only the numbers.
+    """
+    has_clause = F.coalesce(F.col("clause_form"), F.lit("")) != ""
+    numbers = F.when(F.array_contains("citation_words", "dieu"), F.sort_array(F.filter("citation_words", lambda w: (w == "dieu") | w.rlike("[0-9]"))))
+    slim = fields.withColumns({
+        "citation_words": F.when(has_clause, F.coalesce(numbers, F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>")),
+        "article_form": F.when(has_clause, F.col("article_form")),
+        "clause_form": F.when(has_clause, F.col("clause_form")),
+    })
+    kinds = F.array_compact(F.array(
+        F.when(F.col("on_effect") | F.col("on_pledge"), F.lit("validity")),
+        F.when(F.col("is_case") | F.col("is_code"), F.lit("scenario")),
+        F.when(F.col("on_sham"), F.lit("sham")),
+        F.when(F.col("is_precedent"), F.lit("precedent")),
+        F.when(F.col("clause_form").isNotNull(), F.concat(F.lit("clause "), "clause_form")),
+    ))
+    some = slim.withColumn("kinds", kinds).where(F.size("kinds") > 0)
+    # A row limit by group, which each task applies before the shuffle.
+    first = Window.partitionBy(*PROFILE).orderBy("chunk_id")
+    return some.withColumn("place", F.row_number().over(first)).where(F.col("place") <= k).drop("place")
+
+
 def lexical_top(queries: DataFrame, chunks: DataFrame, index: DataFrame, today_year: Column, k: int = TOP,
                 small: bool | None = None) -> DataFrame:
     """Best k chunks per question: half BM25 plus rule score, in time, above zero.
 
-    `queries` carries `q_year`, `historical` and the exact constraints. Chunks
-    that share no word can still score by their kind; they are only looked at
-    for questions with fewer than k word matches, so the result is whole.
+    `queries` carries `q_year`, `historical` and the exact constraints. Chunks that share
+    no word can still score by their kind: the first k of each profile always compete.
     """
-    matched = text_matches(queries, index, small)
     fields = chunk_features(chunks)
     sham = set(SHAM.split())
     asked = queries.select(
@@ -201,33 +232,27 @@ def lexical_top(queries: DataFrame, chunks: DataFrame, index: DataFrame, today_y
         F.exists("key_phrases", lambda p: F.size(F.array_except(strings(sorted(sham)), tx.match_tokens(p))) == 0).alias("asks_sham"),
         F.contains(tx.match_form(F.col("normalized_query")), F.lit("an le")).alias("asks_precedent"))
 
-    def scored(pairs: DataFrame) -> DataFrame:
-        rows = pairs.join(asked, "query_id")
+    def scored(rows: DataFrame) -> DataFrame:
         current = (state(F.col("q_year"), today_year) != "expired") | F.col("historical")
         rows = rows.where(current & within_year_hint())
         score = F.col("bm25") * BM25_SHARE + F.col("phrase_score") + context_bonus()
         return rows.select("query_id", "chunk_id", "bm25", F.round(score, 6).alias("lexical")).where(F.col("lexical") > 0)
 
-    direct = scored(matched.join(fields, "chunk_id"))
-    place = Window.partitionBy("query_id").orderBy(F.desc("lexical"), "chunk_id")
-    # The k rows per question are few: kept, so that the matches behind them are
-    # worked out once and the lone chunks are looked for only when some are needed.
-    best = materialize(direct.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k))
-    short = (
-        queries.where(F.col("request_type").isin("scenario_application", "validity_question"))
-        .select("query_id", "request_type")
-        .join(best.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left")
-        .where(F.coalesce("n", F.lit(0)) < k)
-        .select("query_id", F.col("request_type").alias("bonus_key"))
+    direct = scored(text_matches(queries, index, small).join(fields, "chunk_id").join(asked, "query_id"))
+    wanted = F.concat(
+        F.array_compact(F.array(
+            F.when(F.col("request_type") == "validity_question", F.lit("validity")),
+            F.when(F.col("request_type") == "scenario_application", F.lit("scenario")),
+            F.when(F.col("asks_sham"), F.lit("sham")),
+            F.when(F.col("asks_precedent"), F.lit("precedent")),
+        )),
+        F.coalesce(F.transform("c_clauses", lambda c: F.concat(F.lit("clause "), c)), F.array().cast("array<string>")),
     )
-    if short.isEmpty():
-        return best
-    kinds = F.array_compact(F.array(
-        F.when(F.col("is_case") | F.col("is_code"), "scenario_application"),
-        F.when(F.col("on_effect") | F.col("on_pledge"), "validity_question"),
-    ))
-    keyed = fields.withColumn("bonus_key", F.explode(kinds))
-    lone = short.join(keyed, "bonus_key").drop("bonus_key").join(matched.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
-    filled = scored(lone.withColumns({"bm25": F.lit(0.0), "phrase_score": F.lit(0.0)}))
-    both = best.drop("rank").unionByName(filled)
-    return both.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
+    asking = asked.withColumn("kind", F.explode(F.array_distinct(wanted)))
+    profiles = lone_profiles(fields, k).withColumn("kind", F.explode("kinds")).drop("kinds")
+    met = asking.join(profiles, "kind").withColumns({"bm25": F.lit(0.0), "phrase_score": F.lit(0.0)})
+    # A chunk that also matched by words scores no less there, which counts.
+    both = direct.unionByName(scored(met)).groupBy("query_id", "chunk_id").agg(F.max(F.struct("lexical", "bm25")).alias("best"))
+    rows = both.select("query_id", "chunk_id", "best.bm25", "best.lexical")
+    place = Window.partitionBy("query_id").orderBy(F.desc("lexical"), "chunk_id")
+    return rows.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)

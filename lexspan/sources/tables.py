@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -90,11 +91,17 @@ def read_eval_set(spark: SparkSession, path: str, case_schema: str) -> DataFrame
     return rows.select("s.dataset_name", F.posexplode("s.cases").alias("case_no", "c")).select("dataset_name", "case_no", "c.*")
 
 
-def upsert(current: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
-    """New rows replace old rows of the same key; the last change of a key wins."""
-    return current.join(changes.select(*keys).distinct(), keys, "left_anti").unionByName(
-        changes, allowMissingColumns=True
-    )
+def upsert(current: DataFrame, changes: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """New rows replace old rows of the same key; a key is one row afterwards.
+
+    Of several changes of a key the one with the greatest `order` wins, and of those (or
+    without an order) the greatest in the order of the columns.
+    """
+    others = [c for c in changes.columns if c not in keys]
+    rank = F.struct(*([F.col(order).alias("_order")] if order else []), *others) if others else F.lit(0)
+    last = changes.groupBy(*keys).agg(F.max(rank).alias("_last"))
+    latest = last.select(*keys, *[F.col("_last").getField(c).alias(c) for c in others]).select(*changes.columns)
+    return current.join(changes.select(*keys).distinct(), keys, "left_anti").unionByName(latest, allowMissingColumns=True)
 
 
 def replace_by_key(current: DataFrame, changes: DataFrame, key: str, touched: DataFrame | None = None) -> DataFrame:
@@ -149,11 +156,18 @@ def replace_points(current: DataFrame, chunks: DataFrame) -> DataFrame:
     return replace_by_key(current, unique, "doc_id", touched=chunks)
 
 
-def publish_snapshot(df: DataFrame, root: str, expected_rows: int | None = None, keep: int = 1) -> str:
+POINTER = "snapshot string, version long, rows long, published_at timestamp"
+#: Seconds that a snapshot folder stays after it was written, for readers and publishers at work.
+GRACE = 24 * 3600
+
+
+def publish_snapshot(df: DataFrame, root: str, expected_rows: int | None = None, keep: int = 1, grace: int = GRACE) -> str:
     """Write a new snapshot, check its row count, then move the pointer to it.
 
-    Readers follow the pointer file, so they see the old or the new snapshot,
-    never a part of one. Returns the snapshot id.
+    Readers follow the pointer of the greatest version, so they see the old or the new
+    snapshot, never a part of one. Publishers may work at the same time: each writes a
+    folder of its own, and one that is not pointed to yet is spared for `grace` seconds.
+    Returns the snapshot id.
     """
     spark = df.sparkSession
     snapshot = uuid.uuid4().hex
@@ -162,33 +176,39 @@ def publish_snapshot(df: DataFrame, root: str, expected_rows: int | None = None,
     rows = spark.read.parquet(path).count()
     if rows == 0 or (expected_rows is not None and rows != expected_rows):
         raise RuntimeError(f"snapshot {snapshot} has {rows} rows, expected {expected_rows}")
+    version = 1 + (_pointers(spark, root).agg(F.max("version").alias("v")).first().v or 0) if _exists(spark, f"{root}/_pointers") else 1
     pointer = spark.range(1).select(
-        F.lit(snapshot).alias("snapshot"), F.lit(rows).cast("long").alias("rows"), F.current_timestamp().alias("published_at")
+        F.lit(snapshot).alias("snapshot"), F.lit(version).cast("long").alias("version"), F.lit(rows).cast("long").alias("rows"),
+        F.current_timestamp().alias("published_at"),
     )
     pointer.coalesce(1).write.mode("append").json(f"{root}/_pointers")
-    drop_stale_snapshots(spark, root, keep)
+    drop_stale_snapshots(spark, root, keep, grace)
     return snapshot
 
 
+def _pointers(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema(POINTER).json(f"{root}/_pointers")
+
+
 def live_snapshot(spark: SparkSession, root: str) -> str:
-    pointers = spark.read.schema("snapshot string, rows long, published_at timestamp").json(f"{root}/_pointers")
-    return pointers.orderBy(F.desc("published_at")).first()["snapshot"]
+    """The snapshot of the greatest version; two of one version: the greater id, for every reader."""
+    return _pointers(spark, root).orderBy(F.desc("version"), F.desc("snapshot")).first()["snapshot"]
 
 
 def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/snapshot={live_snapshot(spark, root)}")
 
 
-def drop_stale_snapshots(spark: SparkSession, root: str, keep: int = 1) -> list[str]:
-    """Remove snapshots that no recent pointer names (a listing of folder names)."""
-    pointers = spark.read.schema("snapshot string, rows long, published_at timestamp").json(f"{root}/_pointers")
-    live = {r["snapshot"] for r in pointers.orderBy(F.desc("published_at")).limit(keep).collect()}
+def drop_stale_snapshots(spark: SparkSession, root: str, keep: int = 1, grace: int = GRACE) -> list[str]:
+    """Remove snapshots that are none of the `keep` latest and older than `grace` seconds."""
+    live = {r["snapshot"] for r in _pointers(spark, root).orderBy(F.desc("version"), F.desc("snapshot")).limit(keep).collect()}
     base = spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
     dropped = []
     for status in fs.listStatus(base):
         name = status.getPath().getName()
-        if name.startswith("snapshot=") and name.split("=", 1)[1] not in live:
+        young = status.getModificationTime() > (time.time() - grace) * 1000
+        if name.startswith("snapshot=") and name.split("=", 1)[1] not in live and not (grace and young):
             fs.delete(status.getPath(), True)
             dropped.append(name.split("=", 1)[1])
     return sorted(dropped)
@@ -203,14 +223,37 @@ def manifest(stage: str, inputs: DataFrame, outputs: DataFrame) -> DataFrame:
     )
 
 
+def content_digest(df: DataFrame) -> str:
+    """A digest of a table's rows, whatever their order: hexadecimal of a sum of row hashes."""
+    row = df.agg(
+        F.count("*").alias("n"),
+        F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).cast("string").alias("sum"),
+        F.bit_xor(F.xxhash64(F.lit("x"), *df.columns)).cast("string").alias("xor"),
+    )
+    return row.select(F.sha2(F.concat_ws(":", F.col("n").cast("string"), F.coalesce("sum", F.lit("")), F.coalesce("xor", F.lit(""))), 256).alias("digest")).first()["digest"]
+
+
 def write_manifest(row: DataFrame, folder: str, fallback: str) -> str:
-    """Append the manifest; an unwritable folder falls back to another one."""
+    """Add the manifest as a whole; a folder that cannot be made falls back to another one.
+
+    Whether the folder can be used is settled before anything is written, so a failure
+    of the write itself is never hidden.
+    """
+    target = folder if _can_make(row.sparkSession, folder) else fallback
+    row.coalesce(1).write.mode("append").json(target)
+    return target
+
+
+def _can_make(spark: SparkSession, folder: str) -> bool:
+    from py4j.protocol import Py4JJavaError
+
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     try:
-        row.write.mode("append").json(folder)
-        return folder
-    except Exception:
-        row.write.mode("append").json(fallback)
-        return fallback
+        return bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path))
+    except Py4JJavaError as error:
+        if "IOException" in str(error.java_exception) or "FileSystem" in str(error.java_exception) or "ParentNotDirectory" in str(error.java_exception):
+            return False
+        raise
 
 
 # ---- reports ----------------------------------------------------------------
@@ -254,3 +297,17 @@ def report_lines(reports: DataFrame, metrics: DataFrame, cases: DataFrame) -> Da
     )
     rows = head.unionByName(middle).unionByName(titles).unionByName(body)
     return rows.orderBy("dataset_name", "block", "key", "n")
+
+
+def report_json(reports: DataFrame, metrics: DataFrame, cases: DataFrame) -> DataFrame:
+    """One JSON document for each dataset and case: `dataset_name, part, key, json`.
+
+    Parts are `summary` (the report with its metrics, of which there are a few dozen) and
+    `case`, one row each, so that a report of many cases is never one value.
+    """
+    values = metrics.groupBy("dataset_name").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("metric", "value")))).alias("metrics"))
+    whole = F.struct("dataset_name", "total_cases", "pass_rate", "average_score", "metrics")
+    head = reports.join(values, "dataset_name", "left").select("dataset_name", F.lit("summary").alias("part"), F.lit("").alias("key"), F.to_json(whole).alias("json"))
+    one = F.struct("case_id", "query", "score", "passed", "notes")
+    body = cases.select("dataset_name", F.lit("case").alias("part"), F.lpad(F.col("case_no").cast("string"), 12, "0").alias("key"), F.to_json(one).alias("json"))
+    return head.unionByName(body)

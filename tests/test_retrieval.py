@@ -45,6 +45,21 @@ def test_resolved_documents_and_clause_constraints(spark):
     assert [r["chunk_id"] for r in kept.collect()] == ["a"]
 
 
+def test_lone_chunks_always_compete(spark):
+    rows = [(f"c{i:03d}", "alpha common words", None, None, None) for i in range(40)]
+    rows += [("z1", "other", "Hiệu lực thi hành", None, None), ("z2", "other", "Hiệu lực", None, "2001"), ("z3", "quite", None, "7", None)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, text string, article_title string, clause_no string, effective_to string").withColumns(
+        {c: F.lit(None).cast("string") for c in ("validity_status", "effective_from", "effective_on", "doc_type", "document_role", "citation", "article_no")})
+    asked = spark.createDataFrame(
+        [("q", "validity_question", "alpha", [], ["alpha"], [], [], [], ["7"], [], None, None, False)],
+        "query_id string, request_type string, normalized_query string, query_variants array<string>, keywords array<string>, key_phrases array<string>, "
+        "scenario_terms array<string>, citation_targets array<string>, c_clauses array<string>, c_articles array<string>, year_hint string, q_year int, historical boolean")
+    for k in (1, 3, 32, 60):
+        got = [(r["chunk_id"], r["rank"]) for r in lx.lexical_top(asked, chunks, lx.build_index(chunks), F.lit(2026), k).orderBy("rank").collect()]
+        want = ["z3", "z1", *[f"c{i:03d}" for i in range(40)]]
+        assert got == [(c, i + 1) for i, c in enumerate(want[:k])]
+
+
 def test_bm25_against_the_formula(spark):
     texts = ["một hai ba", "hai ba bốn", "ba bốn năm sáu", "bảy tám", "chín"]
     chunks = spark.createDataFrame([(f"c{i}", t) for i, t in enumerate(texts)], "chunk_id string, text string")

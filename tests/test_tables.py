@@ -37,8 +37,8 @@ def test_eval_set(spark, tmp_path):
 
 def test_snapshot_swap_and_retention(spark, tmp_path):
     root = str(tmp_path / "snap")
-    first = tb.publish_snapshot(spark.range(3), root)
-    second = tb.publish_snapshot(spark.range(5), root, expected_rows=5)
+    first = tb.publish_snapshot(spark.range(3), root, grace=0)
+    second = tb.publish_snapshot(spark.range(5), root, expected_rows=5, grace=0)
     assert first != second and tb.read_snapshot(spark, root).count() == 5
     assert not (tmp_path / "snap" / f"snapshot={first}").exists()
     with pytest.raises(RuntimeError):
@@ -46,6 +46,30 @@ def test_snapshot_swap_and_retention(spark, tmp_path):
     assert tb.read_snapshot(spark, root).count() == 5
 
 
+def test_publishers_spare_each_other(spark, tmp_path):
+    root = str(tmp_path / "snap")
+    spark.range(7).write.parquet(f"{root}/snapshot=of-another")  # written, not yet pointed to
+    first = tb.publish_snapshot(spark.range(3), root)
+    tb.publish_snapshot(spark.range(5), root)
+    assert (tmp_path / "snap" / "snapshot=of-another").exists() and (tmp_path / "snap" / f"snapshot={first}").exists()
+    assert tb.read_snapshot(spark, root).count() == 5
+
+
+def test_upsert_leaves_one_row_for_a_key(spark):
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    new = spark.createDataFrame([(1, "z", 1), (1, "c", 3), (1, "y", 2), (3, None, 1)], "k int, v string, n int")
+    assert sorted(tuple(r) for r in tb.upsert(old, new, ["k"], "n").select("k", "v").collect()) == [(1, "c"), (2, "b"), (3, None)]
+    assert sorted(tuple(r) for r in tb.upsert(old, new.drop("n"), ["k"]).collect()) == [(1, "z"), (2, "b"), (3, None)]
+
+
+def test_manifest_falls_back_and_fails_loudly(spark, tmp_path):
+    (tmp_path / "file").write_text("x")
+    row = spark.range(1)
+    assert tb.write_manifest(row, str(tmp_path / "file" / "no"), str(tmp_path / "other")) == str(tmp_path / "other")
+    with pytest.raises(Exception, match="broken"):
+        tb.write_manifest(row.select(F.raise_error(F.lit("broken"))), str(tmp_path / "good"), str(tmp_path / "other"))
+
+
 def registry_row(**changes):
     row = dict(idx=0, doc_id="d", source_file="f", source_checksum_sha256="s", source_name="n", source_url="u", source_verified_at="2026-01-01",
                source_verification_status="official_verified", validity_status="dang_co_hieu_luc", source_of_validity="csdl_quoc_gia_vbpl",
