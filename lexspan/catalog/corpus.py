@@ -20,7 +20,7 @@ ISSUED, EFFECTIVE = "2010-01-01", "2012-01-01"
 
 
 def pieces(text: Column) -> Column:
-    words = F.regexp_extract_all(F.lower(text), F.lit("([a-z]{3,})"), F.lit(1))
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
     return let(words, lambda w: F.when(
         F.size(w) > 0,
         F.transform(
@@ -73,8 +73,8 @@ def legal_texts(spark: SparkSession, folder: str) -> DataFrame:
     ).select("doc_id", "doc_type", text.alias("text"), F.size(parts).cast("long").alias("n_pieces"))
 
 
-LEGAL_SQL = f"""
-with w as (select doc_id, regexp_extract_all(lower(text), '[a-z]{{3,}}') as words from documents),
+LEGAL_SQL = rf"""
+with w as (select doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') as words from documents),
 p as (select doc_id, [array_to_string(words[i * {PIECE} + 1 : i * {PIECE} + {PIECE}], ' ')
         for i in range(cast(ceil(len(words) / {PIECE}.0) as bigint))] as parts from w),
 docs as (select doc_id, parts, len(parts) as n_pieces, ['bo_luat','nghi_dinh','thong_tu','nghi_quyet','an_le'][doc_id % 5 + 1] as doc_type
@@ -148,7 +148,7 @@ def question_rows(spark: SparkSession, folder: str) -> DataFrame:
         F.trim(F.regexp_replace("text", r"\s+", " ")).alias("normalized_query"),
         F.element_at(F.array(*[F.lit(x) for x in kinds]), (k % 5 + 1).cast("int")).alias("request_type"),
         F.when(k % 4 == 3, (2005 + k % 20).cast("string")).alias("year_hint"),
-        F.array_distinct(F.slice(words, 1, 12)).alias("keywords"),
+        F.array_distinct(words).alias("keywords"),
         F.array(F.array_join(F.slice(words, 1, 2), " "), F.when(k % 3 == 0, "giả tạo").otherwise("hiệu lực")).alias("key_phrases"),
         F.when(k % 5 == 3, F.array(F.array_join(F.slice(words, 3, 2), " "))).otherwise(empty).alias("scenario_terms"),
         F.when(k % 3 == 1, F.array(F.concat(F.lit("Văn bản src"), k % 20, F.lit(", Điều "), k % 4 + 1))).otherwise(empty).alias("citation_targets"),
@@ -168,7 +168,7 @@ qs as (select item_id as k, 'q' || lpad(cast(item_id as varchar), 6, '0') as que
  ['citation_lookup','validity_question','case_law_question','scenario_application','general_legal_question'][item_id % 5 + 1] as request_type,
  case when item_id % 4 = 3 then 2005 + item_id % 20 end as q_year, item_id % 4 = 3 as historical,
  [w for w in string_split_regex(lower(text), '[^\p{L}]+') if length(w) > 2] as words from benchmark),
-qq as (select *, words[1:12] as kw, [array_to_string(words[1:2], ' '), case when k % 3 = 0 then 'giả tạo' else 'hiệu lực' end] as key_phrases,
+qq as (select *, words as kw, [array_to_string(words[1:2], ' '), case when k % 3 = 0 then 'giả tạo' else 'hiệu lực' end] as key_phrases,
  case when k % 5 = 3 then [array_to_string(words[3:4], ' ')] else []::varchar[] end as scenario_terms,
  case when k % 3 = 1 then ['Văn bản src' || (k % 20) || ', Điều ' || (k % 4 + 1)] else []::varchar[] end as citation_targets from qs)
 """

@@ -118,14 +118,14 @@ def parsed_precedents(spark, folder):
 
 
 @query("integrity_cleaned_text", r"""
-with f as (select doc_id, 'text' as field, text from documents union all select doc_id, 'title', replace(substr(text, 1, 60), '.', ' . Trang 12') from documents)
+with f as (select doc_id, 'text' as field, text from documents union all select doc_id, 'title', replace(text, '.', ' . Trang 12') from documents)
 select doc_id, field, 'double_blank' as issue from f where contains(text, '  ')
 union all select doc_id, field, 'page_label' from f where regexp_matches(text, 'trang\s+\d+', 'i')
 union all select doc_id, field, 'english_page_label' from f where regexp_matches(text, 'page\s+\d+', 'i')
 union all select doc_id, field, 'blank_before_punctuation' from f where regexp_matches(text, '\s+[.,;:]')""")
 def cleaned_text(spark, folder):
     docs = table(spark, folder, "documents").withColumn(
-        "title", F.replace(F.substring("text", 1, 60), F.lit("."), F.lit(" . Trang 12")))
+        "title", F.replace(F.col("text"), F.lit("."), F.lit(" . Trang 12")))
     return ig.cleaned_text_issues(ig.text_fields(docs, ["doc_id"], ["text", "title"]), ["doc_id"])
 
 

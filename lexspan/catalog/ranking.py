@@ -274,11 +274,11 @@ def exact_precedent_filter(spark, folder):
 
 
 @query("ranking_promotion", CAND_SQL + """
-, top as (select * from ranked where rank <= 40), b as (select query_id, min(rank) as r from top where document_role = 'case_law' group by 1)
+, top as (select * from ranked), b as (select query_id, min(rank) as r from top where document_role = 'case_law' group by 1)
 select t.query_id, chunk_id, row_number() over (partition by t.query_id order by
  case when rank = r and r >= 9 and request_type in ('scenario_application', 'case_law_question') and qk % 10 <> 8 then 0 else 1 end, rank) as rank from top t left join b using (query_id)""")
 def promotion(spark, folder):
-    rows = ranked(spark, folder, 40).withColumn("temporal", F.lit(0.0))
+    rows = ranked(spark, folder).withColumn("temporal", F.lit(0.0))
     return as_long(rk.promote_precedent(rows).select("query_id", "chunk_id", "rank"), "rank")
 
 
@@ -313,7 +313,7 @@ def domain_filter(spark, folder):
 
 
 EVIDENCE_SQL = CAND_SQL + """
-, top as (select *, lower(citation || ' ' || title || ' ' || article_title || ' ' || text) as hay from ranked where rank <= 40),
+, top as (select *, lower(citation || ' ' || title || ' ' || article_title || ' ' || text) as hay from ranked),
 au as (select *, round(cast(final + case doc_type when 'bo_luat' then 4 when 'nghi_quyet' then 3 when 'nghi_dinh' then 2 else 0 end
  + case when legal_role in ('condition_exception', 'rule') then 1.5 else 0 end + 2 * (case when contains(hay, key_phrases[1]) then 1 else 0 end + case when contains(hay, key_phrases[2]) then 1 else 0 end)
  + case when len(scenario_terms) > 0 and contains(hay, scenario_terms[1]) then 1 else 0 end
@@ -330,7 +330,7 @@ ev as (select query_id, chunk_id, case when n <= 5 then 'core' else 'supporting'
 
 
 def _evidence(spark, folder):
-    return rk.evidence(ranked(spark, folder, 40).withColumn("legal_domain_tags", an.strings()))
+    return rk.evidence(ranked(spark, folder).withColumn("legal_domain_tags", an.strings()))
 
 
 @query("ranking_evidence", EVIDENCE_SQL + "select query_id, chunk_id, bucket, ord from ev")
@@ -339,10 +339,10 @@ def evidence(spark, folder):
 
 
 @query("ranking_temporal_notes", CAND_SQL + """
-, n as (select query_id, rank, 'note ' || k as note, row_number() over (partition by query_id order by rank) as note_no from ranked where rank <= 40 and k % 9 = 0)
+, n as (select query_id, rank, 'note ' || k as note, row_number() over (partition by query_id order by rank) as note_no from ranked where k % 9 = 0)
 select query_id, note_no, note from n where note_no <= 3""")
 def temporal_notes(spark, folder):
-    return as_long(rk.temporal_notes(ranked(spark, folder, 40)), "note_no")
+    return as_long(rk.temporal_notes(ranked(spark, folder)), "note_no")
 
 
 @query("ranking_confidence", EVIDENCE_SQL + """
@@ -353,7 +353,7 @@ f as (select q.query_id, coalesce(len(q.citation_targets) > 0 and contains(lower
  from qq q left join t on t.query_id = q.query_id left join cnt on cnt.query_id = q.query_id left join kinds on kinds.query_id = q.query_id)
 select query_id, case when citation_match or multi_source_support then 'high' when candidate_count > 0 then 'medium' else 'low' end as level, citation_match, multi_source_support, time_match, candidate_count from f""")
 def confidence(spark, folder):
-    return rk.confidence(question_rows(spark, folder), ranked(spark, folder, 40), _evidence(spark, folder), chunk_rows(spark, folder))
+    return rk.confidence(question_rows(spark, folder), ranked(spark, folder), _evidence(spark, folder), chunk_rows(spark, folder))
 
 
 @query("ranking_source_distribution", CAND_SQL + "select query_id, doc_type, count(*) as n from ranked where rank <= 18 group by 1, 2")

@@ -125,13 +125,13 @@ _simple("text_truncate", tx.truncate,
 @query("text_clean_all_fields", f"""
 with cleaned as (
   select doc_id, source, lang, {sql_canonical(sql_tidy_punctuation(sql_drop_noise(sql_tidy_whitespace("nfc_normalize(text)"))))} as body,
-         {sql_canonical(sql_tidy_punctuation(sql_drop_noise(sql_tidy_whitespace("nfc_normalize(substr(text, 1, 80))"))))} as title
+         {sql_canonical(sql_tidy_punctuation(sql_drop_noise(sql_tidy_whitespace("nfc_normalize(text)"))))} as title
   from documents)
 select doc_id, md5(title) as title_digest, md5(body) as body_digest from cleaned""")
 def clean_all_fields(spark, folder):
     from lexspan.operators.cleaning import clean_fields
 
-    docs = table(spark, folder, "documents").withColumn("title", F.substring("text", 1, 80))
+    docs = table(spark, folder, "documents").withColumn("title", F.col("text"))
     cleaned = clean_fields(docs, ["title", "text"])
     return cleaned.select("doc_id", F.md5("title").alias("title_digest"), F.md5("text").alias("body_digest"))
 

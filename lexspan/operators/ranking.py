@@ -178,8 +178,17 @@ def metadata_top(queries: DataFrame, chunks: DataFrame, today_year: Column, k: i
     current = (state(F.col("q_year"), today_year) != "expired") | F.col("historical")
     typed = (F.size("c_types") == 0) | F.coalesce(F.array_contains("c_types", F.col("doc_type")), F.lit(False))
     hint = within_year_hint() | (F.col("request_type") == "citation_lookup")
-    general = kept.where("key = 'all'").join(signs.withColumn("key", F.lit("all")), "key").where(current & typed & hint)
-    general = top_by(general.withColumn("base", base_score()), ["sign"], [F.desc("base"), "chunk_id"], k)
+    # A profile is scored once for each sign that asks for its document type; the k best
+    # profiles, by score and first id, hold the k best chunks.
+    every = kept.where("key = 'all'").select("chunk_id", *PROFILE, F.xxhash64(F.to_json(F.struct(*PROFILE))).alias("profile"))
+    firsts = every.groupBy("profile", *PROFILE).agg(F.min("chunk_id").alias("first"))
+    kinds_ = firsts.agg(F.collect_set(F.coalesce("doc_type", F.lit(""))).alias("t")).first()["t"]
+    wanted = F.when(F.size("c_types") == 0, an.strings(sorted(kinds_))).otherwise(F.col("c_types"))
+    by_type = signs.withColumn("asked_type", F.explode(F.array_distinct(wanted)))
+    scored_profiles = firsts.join(by_type, F.coalesce("doc_type", F.lit("")) == F.col("asked_type")).where(current & typed & hint)
+    best = top_by(scored_profiles.withColumn("base", base_score()), ["sign"], [F.desc("base"), "first"], k)
+    general = best.select("sign", "profile", "base").join(every.select("profile", "chunk_id"), "profile")
+    general = top_by(general, ["sign"], [F.desc("base"), "chunk_id"], k)
     free = signed.where(F.size("c_docs") == 0)
     by_kind = free.select("query_id", "sign").join(general.select("sign", "chunk_id"), "sign").select("query_id", "chunk_id")
 
