@@ -1,19 +1,42 @@
-"""Streams over the whole event and document tables, drained once."""
+"""Streams over the whole event and document tables, fed in several micro-batches."""
 
 import uuid
 
 from pyspark.sql import functions as F
 
-from lexspan.catalog.registry import query
+from lexspan.catalog.registry import query, table
 from lexspan.functions import text as tx
 from lexspan.operators import chunking as ck
 from lexspan.session import scratch_dir
 from lexspan.streaming import flows, limits
 
 
+#: Files of a micro-batch.
+FILES = 8
+#: Micro-batches that a table is fed in, and the last row's key: it only moves the watermark on.
+BATCHES, END = 3, "__end__"
+
+
 def source(spark, folder, name):
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    """A table as a stream of several micro-batches, events in order of time."""
+    root = f"{scratch_dir(spark)}/lexspan-feed-{uuid.uuid4().hex}"
+    rows = table(spark, folder, name)
+    if name == "events":
+        ends = rows.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+        width = (ends.b - ends.a) / BATCHES
+        part = F.lit(0)
+        for k in range(1, BATCHES):
+            part = part + (F.col("ts") >= F.lit(ends.a + k * width)).cast("int")
+    else:
+        part = F.pmod(F.xxhash64("doc_id"), F.lit(BATCHES)).cast("int")
+    feed = rows.withColumn("_part", part)
+    # Written one after another: a file source takes the oldest files first.
+    for k in range(BATCHES):
+        feed.where(F.col("_part") == k).drop("_part").coalesce(FILES).write.mode("append").parquet(root)
+    if name == "events":
+        later = rows.orderBy(F.desc("ts")).limit(1).withColumns({"ts": F.col("ts") + F.expr("interval 30 days"), "event_type": F.lit(END), "user_id": F.lit(-1).cast("long")})
+        later.write.mode("append").parquet(root)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES).parquet(root)
 
 
 def drain(spark, stream, mode="append"):
@@ -36,7 +59,7 @@ b as (select user_id, event_id, i, true as allowed, {CAP} - 1.0::double as token
 def token_bucket(spark, folder):
     requests = source(spark, folder, "events").select(F.col("user_id").alias("client_id"), F.col("event_id").alias("request_id"), "ts")
     rows = drain(spark, limits.token_bucket(requests, CAP, RATE, TTL))
-    return rows.select(F.col("client_id").alias("user_id"), F.col("request_id").alias("event_id"), "allowed")
+    return rows.where("client_id >= 0").select(F.col("client_id").alias("user_id"), F.col("request_id").alias("event_id"), "allowed")
 
 
 @query("streams_warning_suppression", """
@@ -47,7 +70,7 @@ select event_type, event_id from b where shown""")
 def warning_suppression(spark, folder):
     warnings = source(spark, folder, "events").select(F.col("event_type").alias("key"), F.col("event_id").alias("request_id"), "ts")
     rows = drain(spark, limits.suppress_repeats(warnings, 3600.0))
-    return rows.select(F.col("key").alias("event_type"), F.col("request_id").alias("event_id"))
+    return rows.where(F.col("key") != END).select(F.col("key").alias("event_type"), F.col("request_id").alias("event_id"))
 
 
 def requests_of(spark, folder):
@@ -59,7 +82,7 @@ METRIC_COLUMNS = """path, count(*) as requests, count(*) filter (path = 'error')
 
 
 def _metrics(spark, stream):
-    rows = drain(spark, stream, "complete")
+    rows = drain(spark, stream).where(F.col("path") != END)
     return rows.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "path", "requests", "failures",
                        F.round("avg_seconds", 6).alias("avg_seconds"), "max_seconds")
 
@@ -79,7 +102,7 @@ def sliding_metrics(spark, folder):
 
 
 @query("streams_continuous_ingest", """
-select count(distinct doc_id) as documents, sum(length(regexp_replace(text, '\\s', '', 'g')))::bigint as letters from documents where length(text) <= 1400""")
+select doc_id, true as in_order, true as whole from documents where regexp_matches(text, '[^\\s]')""")
 def continuous_ingest(spark, folder):
     root = f"{scratch_dir(spark)}/lexspan-ingest-{uuid.uuid4().hex}"
 
@@ -91,15 +114,22 @@ def continuous_ingest(spark, folder):
         # The second run starts from nothing and must not change the result.
         flows.continuous_ingest(source(spark, folder, "documents"), build, f"{root}/chunks", f"{root}/state{run}").awaitTermination()
     rows = flows.latest_chunks(spark, f"{root}/chunks")
-    whole = rows.groupBy("doc_id").agg(F.count("*").alias("parts"), F.sum(F.length(F.regexp_replace("part", r"\s", ""))).alias("letters"), F.max(F.length("part")).alias("longest"))
-    short = whole.where((F.col("parts") == 1) & (F.col("longest") <= 1400))
-    return short.agg(F.count("*").alias("documents"), F.sum("letters").alias("letters"))
+    # Parts of each document in order, and every word of its cleaned text in one of them.
+    words = lambda c: F.array_distinct(F.transform(F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " "), lambda w: F.regexp_replace(w, r"[.]+$", "")))
+    got = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("part_no", "part"))).alias("parts"))
+    texts = table(spark, folder, "documents").where("text rlike '[^\\\\s]'").select("doc_id", tx.nfc(F.col("text")).alias("text"))
+    both = texts.join(got, "doc_id")
+    return both.select(
+        "doc_id",
+        F.forall("parts", lambda p: F.get("parts", p["part_no"])["part"] == p["part"]).alias("in_order"),
+        (F.size(F.array_except(words(F.col("text")), words(F.array_join("parts.part", " ")))) == 0).alias("whole"),
+    )
 
 
 @query("streams_redelivery", "select event_id, user_id from events")
 def redelivery(spark, folder):
     events = source(spark, folder, "events").select("event_id", "user_id", "ts", F.explode(F.sequence(F.lit(0), F.when(F.col("event_id") % 3 == 0, 1).otherwise(0))).alias("copy"))
-    return drain(spark, flows.without_redelivery(events, "event_id", "7 days")).select("event_id", "user_id")
+    return drain(spark, flows.without_redelivery(events, "event_id", "7 days")).where("user_id >= 0").select("event_id", "user_id")
 
 
 @query("streams_sessions", """
@@ -108,5 +138,5 @@ s as (select user_id, ts, sum(n) over (partition by user_id order by ts rows unb
 select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as started, count(*) as messages from s group by user_id, sid""")
 def sessions(spark, folder):
     messages = source(spark, folder, "events").select("user_id", "ts")
-    rows = drain(spark, flows.sessions(messages, "user_id", "6 hours", "1 day"), "complete")
+    rows = drain(spark, flows.sessions(messages, "user_id", "6 hours", "1 day")).where("user_id >= 0")
     return rows.select("user_id", F.date_format("started", "yyyy-MM-dd HH:mm:ss").alias("started"), "messages")
