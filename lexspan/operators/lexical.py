@@ -103,18 +103,27 @@ def match_terms(index: DataFrame, terms: DataFrame, small: bool | None = None) -
     """Chunks that hold a term: the terms' columns plus `chunk_id, length`.
 
     Terms proven few are broadcast: chunks stay where they are. Otherwise both
-    sides are shuffled by token, a frequent token (`df`) over several salts.
+    sides are shuffled by token, a frequent token over several salts.
     """
     postings = index.repartition(F.col("chunk_id")).select("chunk_id", "length", F.explode("tokens").alias("token"))
     small = fits(terms, TERM_ROWS) if small is None else small
     if small:
         return postings.join(F.broadcast(terms), "token")
-    parts = terms.groupBy("token").agg(F.max("df").alias("_df")) if "df" in terms.columns else terms.groupBy("token").agg(
-        F.lit(1).alias("_df"))
-    salts = parts.select("token", F.greatest(F.ceil(F.col("_df") / SALT_ROWS), F.lit(1)).cast("int").alias("salts"))
-    spread = terms.join(salts, "token").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    salted = postings.join(salts, "token").withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.col("salts")).cast("int")).drop("salts")
-    return salted.join(spread.drop("salts"), ["token", "salt"]).drop("salt")
+    return salted_join(postings, terms, ["token"], postings.groupBy("token").agg(F.count("*").alias("df")))
+
+
+def salted_join(postings: DataFrame, terms: DataFrame, keys: list[str], frequencies: DataFrame, rows: int | None = None) -> DataFrame:
+    """Equi-join of postings and terms in which no key has more than `rows` postings in a task.
+
+    Keys above that are few (at most one for each `rows` postings) and go to every task,
+    so their rows are salted before anything is shuffled by key.
+    """
+    rows = rows or SALT_ROWS
+    hot = F.broadcast(frequencies.where(F.col("df") > rows).select(*keys, F.ceil(F.col("df") / rows).cast("int").alias("salts")))
+    salt = F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("chunk_id"), F.col("salts"))).otherwise(0).cast("int")
+    left = postings.join(hot, keys, "left").withColumn("salt", salt).drop("salts")
+    right = terms.join(hot, keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return left.join(right, [*keys, "salt"]).drop("salt")
 
 
 def bm25(queries: DataFrame, index: DataFrame, small: bool | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lexspan.functions import text as tx
 from lexspan.operators import analysis as an
-from lexspan.operators.lexical import TERM_ROWS
+from lexspan.operators.lexical import TERM_ROWS, salted_join
 from lexspan.operators.temporal import state, within_year_hint
 from lexspan.session import fits, materialize
 
@@ -130,8 +130,12 @@ def field_hits(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     ])
     words = chunks.repartition(F.col("chunk_id")).select("chunk_id", F.explode(fields).alias("f")).select(
         "chunk_id", "f.field", F.explode("f.tokens").alias("token"))
-    side = F.broadcast(wanted) if fits(wanted, TERM_ROWS) else wanted
-    per_needle = words.join(side, ["field", "token"]).groupBy("chunk_id", "query_id", "needle", "field", "weight", "n").agg(
+    if fits(wanted, TERM_ROWS):
+        met = words.join(F.broadcast(wanted), ["field", "token"])
+    else:
+        frequent = words.groupBy("field", "token").agg(F.count("*").alias("df"))
+        met = salted_join(words, wanted, ["field", "token"], frequent)
+    per_needle = met.groupBy("chunk_id", "query_id", "needle", "field", "weight", "n").agg(
         F.count("*").alias("found"))
     return per_needle.where(F.col("found") == F.col("n")).groupBy("chunk_id", "query_id").agg(F.sum("weight").alias("field_score"))
 
@@ -566,9 +570,12 @@ def attach_parents(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
 
     Parts of a split unit share a node; the lowest part is taken.
     """
-    unit = chunks.where(_text("node_id") != "").groupBy(F.col("node_id").alias("parent_id")).agg(
+    # Only the parents asked for, a few for each question, are read with their texts.
+    by_node = ranked.where(_text("parent_id") != "").select(F.col("parent_id").alias("node_id")).distinct()
+    by_chunk = ranked.where(F.col("parent_chunk_id").isNotNull()).select(F.col("parent_chunk_id").alias("chunk_id")).distinct()
+    unit = chunks.join(by_node, "node_id", "left_semi").groupBy(F.col("node_id").alias("parent_id")).agg(
         F.min_by(F.struct("chunk_id", "text", "citation"), "chunk_id").alias("_node"))
-    single = chunks.select(
+    single = chunks.join(by_chunk, "chunk_id", "left_semi").select(
         F.col("chunk_id").alias("parent_chunk_id"), F.struct("chunk_id", "text", "citation").alias("_chunk"))
     joined = ranked.join(unit, "parent_id", "left").join(single, "parent_chunk_id", "left")
     parent = F.coalesce("_node", "_chunk")

@@ -109,3 +109,18 @@ def test_fusion_ignores_input_order(spark):
         {r["chunk_id"]: round(r["hybrid"], 12) for r in rk.fuse(rk.merge_scores(spark.createDataFrame(x, schema))).collect()}
         for x in (rows, rows[::-1])]
     assert fused[0] == fused[1]
+
+
+def test_frequent_keys_are_salted(spark):
+    postings = spark.range(500).select(F.concat(F.lit("c"), "id").alias("chunk_id"), F.when(F.col("id") % 5 > 0, "hot").otherwise(F.concat(F.lit("t"), F.col("id") % 7)).alias("token"))
+    terms = spark.createDataFrame([("q1", "hot"), ("q2", "hot"), ("q2", "t3"), ("q3", "none")], "query_id string, token string")
+    frequent = postings.groupBy("token").agg(F.count("*").alias("df"))
+    joined = lx.salted_join(postings, terms, ["token"], frequent, rows=30)
+    assert sorted(map(tuple, joined.select("query_id", "chunk_id", "token").collect())) == sorted(map(tuple, postings.join(terms, "token").select("query_id", "chunk_id", "token").collect()))
+
+
+def test_names_are_found_by_their_rarest_part(spark):
+    texts = spark.createDataFrame([(1, "theo nghi dinh 99/2022 va bo luat dan su"), (2, "nghi dinh 100/2022"), (3, "bl"), (4, "")], "k int, text string")
+    names = spark.createDataFrame([("a", "nghi dinh 99/2022"), ("b", "nghi dinh 100/2022"), ("c", "bo luat dan su"), ("d", "bl"), ("e", ""), ("f", "dinh 99"), ("a", "bo luat")], "doc_id string, term string")
+    got = {r["k"]: r["doc_ids"] for r in an.resolve_documents(texts, names, "k").collect()}
+    assert got == {1: ["a", "c", "f"], 2: ["b"], 3: ["d"]}
