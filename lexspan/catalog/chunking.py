@@ -78,8 +78,8 @@ def appendix(spark, folder):
 
 @query("chunking_precedents", f"""
 with d as (select doc_id, {PRECEDENT_WORDS} as flat from documents)
-select doc_id || '_tinh_huong' as chunk_id, 'case_issue' as legal_role, md5(trim(substr(flat, 1, 300))) as digest from d where flat <> ''
-union all select doc_id || '_giai_phap', 'case_holding', md5(trim(regexp_replace('phải ' || substr(flat, 5, 200), ' +', ' ', 'g'))) from d where flat <> ''
+select doc_id || '_tinh_huong' as chunk_id, 'case_issue' as legal_role, md5(trim(flat)) as digest from d where flat <> ''
+union all select doc_id || '_giai_phap', 'case_holding', md5(trim(regexp_replace('phải ' || flat, ' +', ' ', 'g'))) from d where flat <> ''
 union all select doc_id || '_trich_dan_p1', 'case_reasoning', md5(trim('“[2] ' || substr(flat, 1, 100)) || ' hết.”') from d where flat <> ''""")
 def precedents(spark, folder):
     rows = ck.precedent_chunks(st.parse_precedents(precedent_texts(spark, folder)).where(F.col("facts") != ""))

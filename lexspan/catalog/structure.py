@@ -241,11 +241,11 @@ def precedent_texts(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", flat.alias("flat"), "source")
     key = F.col("doc_id").cast("string")
     text = F.concat(
-        F.lit("ÁN LỆ SỐ "), key, F.lit("/2021/AL\nVề việc "), F.substring("flat", 1, 40),
+        F.lit("ÁN LỆ SỐ "), key, F.lit("/2021/AL\nVề việc "), F.col("flat"),
         F.lit("\nĐược Hội đồng Thẩm phán Tòa án nhân dân tối cao thông qua và công bố theo Quyết định ngày 31 tháng 12 năm 2021"),
         F.lit("\nNguồn án lệ:\nBản án số "), key, F.lit(" của Tòa án nhân dân cấp cao"),
-        F.lit("\nVị trí nội dung án lệ:\nĐoạn 2\nKhái quát nội dung của án lệ:\n- Tình huống án lệ:\n"), F.substring("flat", 1, 300),
-        F.lit("\n- Giải pháp pháp lý:\nphải "), F.substring("flat", 5, 200),
+        F.lit("\nVị trí nội dung án lệ:\nĐoạn 2\nKhái quát nội dung của án lệ:\n- Tình huống án lệ:\n"), F.col("flat"),
+        F.lit("\n- Giải pháp pháp lý:\nphải "), F.col("flat"),
         F.lit("\nQuy định của pháp luật liên quan đến án lệ:\n- Điều 117 Bộ luật;\n- Khoản 2 Điều "), key,
         F.lit("\ncủa Luật;\n- ghi chú\nTừ khóa của án lệ:\n“hợp đồng”; “"), "source", F.lit("”;\nNỘI DUNG VỤ ÁN:\n"), "flat",
         F.lit("\nNHẬN ĐỊNH CỦA TÒA ÁN:\nx\nNỘI DUNG ÁN LỆ\n“[2] "), F.substring("flat", 1, 100), F.lit("\nhết.”\n12"),
@@ -255,11 +255,11 @@ def precedent_texts(spark, folder):
 
 @query("structure_precedent_sections", f"""
 with d as (select doc_id, source, {PRECEDENT_WORDS} as flat from documents)
-select doc_id, doc_id || '/2021/AL' as number, trim('Về việc ' || substr(flat, 1, 40)) as title,
+select doc_id, doc_id || '/2021/AL' as number, trim('Về việc ' || flat) as title,
   'Bản án số ' || doc_id || ' của Tòa án nhân dân cấp cao' as source_note,
   'Được Hội đồng Thẩm phán Tòa án nhân dân tối cao thông qua và công bố theo Quyết định ngày 31 tháng 12 năm 2021' as court,
-  '2021-12-31' as published_on, 'Đoạn 2' as location_note, trim(substr(flat, 1, 300)) as issue,
-  trim(regexp_replace('phải ' || substr(flat, 5, 200), ' +', ' ', 'g')) as holding, md5(trim(flat)) as facts, trim('“[2] ' || substr(flat, 1, 100)) || ' hết.”' as reasoning,
+  '2021-12-31' as published_on, 'Đoạn 2' as location_note, trim(flat) as issue,
+  trim(regexp_replace('phải ' || flat, ' +', ' ', 'g')) as holding, md5(trim(flat)) as facts, trim('“[2] ' || substr(flat, 1, 100)) || ' hết.”' as reasoning,
   'Điều 117 Bộ luật|Khoản 2 Điều ' || doc_id || ' của Luật' as related, 'hợp đồng|' || source as keywords from d where flat <> ''""")
 def precedent_sections(spark, folder):
     texts = precedent_texts(spark, folder)
