@@ -65,11 +65,19 @@ def token_bucket(requests: DataFrame, capacity: float = CAPACITY, rate: float =
         decide, out, "tokens double, last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def suppress_repeats(warnings: DataFrame, interval: float = WARNING_SECONDS) -> DataFrame:
-    """At most one warning per key and interval (`key, request_id, ts`)."""
-    timed = warnings.select("key", "request_id", F.col("ts").cast("timestamp").cast("double").alias("seconds"))
+def suppress_repeats(warnings: DataFrame, interval: float = WARNING_SECONDS, delay: str = "1 minute") -> DataFrame:
+    """At most one warning per key and interval (`key, request_id, ts`).
+
+    What was last shown of a key matters for one interval; its state is dropped once the
+    watermark has passed that.
+    """
+    stamped = warnings.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    timed = stamped.select("key", "request_id", "ts", F.col("ts").cast("double").alias("seconds"))
 
     def emit(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else float("-inf")
         rows = _in_order(frames)
         keep = []
@@ -78,8 +86,9 @@ def suppress_repeats(warnings: DataFrame, interval: float = WARNING_SECONDS) ->
             last = now if shown else last
             keep.append(shown)
         state.update((last,))
+        state.setTimeoutTimestamp(max(int((last + interval) * 1000) + 1, state.getCurrentWatermarkMs() + 1))
         yield rows.loc[keep, ["key", "request_id", "seconds"]]
 
     types = dict(timed.dtypes)
     return timed.groupBy("key").applyInPandasWithState(
-        emit, f"key {types['key']}, request_id {types['request_id']}, seconds double", "last double", "append", GroupStateTimeout.NoTimeout)
+        emit, f"key {types['key']}, request_id {types['request_id']}, seconds double", "last double", "append", GroupStateTimeout.EventTimeTimeout)
