@@ -84,14 +84,14 @@ def with_fingerprint(df: DataFrame, keys: list[str], text: str = "text", out: st
     return counted.select(*keys, fp.alias(out))
 
 
-def _next_above(keys: DataFrame, least: int, most: int) -> DataFrame:
-    """key, above: the next greater key of a table of distinct longs, null for the last."""
+def _next_above(keys: DataFrame, most: int) -> DataFrame:
+    """key, above: the next greater key of a table of distinct longs from 0 to `most`, null for the last."""
     dealt = keys.select("key", F.shiftright("key", STEP_BITS).alias("deal"))
     here = dealt.withColumn("above", F.lead("key").over(Window.partitionBy("deal").orderBy("key")))
-    if least >> STEP_BITS == most >> STEP_BITS:
+    if not most >> STEP_BITS:
         return here.select("key", "above")
     heads = dealt.groupBy("deal").agg(F.min("key").alias("head"))
-    order = _next_above(heads.select(F.col("deal").alias("key")), least >> STEP_BITS, most >> STEP_BITS)
+    order = _next_above(heads.select(F.col("deal").alias("key")), most >> STEP_BITS)
     jump = order.join(heads.withColumnRenamed("deal", "above"), "above").select(F.col("key").alias("deal"), "head")
     return here.join(jump, "deal", "left").select("key", F.coalesce("above", "head").alias("above"))
 
@@ -109,13 +109,15 @@ def follow(df: DataFrame, doc_id: str = "doc_id", text: str = "text", out: str =
     # Rows without an id are dealt by their text and get no successor.
     rows = df.withColumn(text, text_or_empty).withColumns({"_range": F.coalesce(dealt, F.xxhash64(text_or_empty)), "_copy": F.lit(False)})
     if ends.least is not None:
-        above = _next_above(tops.select("key"), ends.least, ends.most)
-        lacking = above.join(tops, "key").select(F.col("top").alias("_top"), F.coalesce("above", F.lit(ends.least)).alias("_to"))
+        least = F.lit(ends.least)
+        above = _next_above(tops.select((F.col("key") - least).alias("key")), ends.most - ends.least)
+        lacking = above.join(tops.withColumn("key", F.col("key") - least), "key").select(F.col("top").alias("_top"), (F.coalesce("above", F.lit(0)) + least).alias("_to"))
         copies = rows.join(lacking, F.col(doc_id) == F.col("_top")).withColumns({"_range": F.col("_to"), "_copy": F.lit(True)}).drop("_top", "_to")
         rows = rows.unionByName(copies)
-    placed = F.col(doc_id).isNotNull()
-    inside = Window.partitionBy("_range", placed).orderBy("_copy", F.col(doc_id).desc(), text)
-    return rows.withColumns({out: F.when(placed, F.lead(text).over(inside)), "_row": F.row_number().over(inside), "_placed": placed})
+    # A column of its own, so that what follows sees that rows are dealt by it already.
+    rows = rows.withColumn("_placed", F.col(doc_id).isNotNull())
+    inside = Window.partitionBy("_range", "_placed").orderBy("_copy", F.col(doc_id).desc(), text)
+    return rows.withColumns({out: F.when(F.col("_placed"), F.lead(text).over(inside)), "_row": F.row_number().over(inside)})
 
 
 def near(fps: DataFrame, radius: int = 3, fp: str = "fp") -> DataFrame:
