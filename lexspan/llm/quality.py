@@ -1,7 +1,7 @@
 """Quality classification with hierarchical empirical Bayes over sites.
 
 A document's own evidence is a naive Bayes log-likelihood ratio of binned shares
-(capitals, symbols, digits, exclamation marks, repeated words, white space) and of its
+(capitals, symbols, digits, exclamation marks, repeated words, words by characters) and of its
 length, learnt from labelled rows. Sites add a prior: the expected share of good
 documents of a path (source and language) is shrunk toward that of its host (source),
 and the host's toward the global one. How strongly is learnt from the data: of the
@@ -33,7 +33,7 @@ EDGES = (0.0, 0.002, 0.005, 0.01, 0.02, 0.04, 0.08, 0.16, 0.32, 0.64)
 #: Characters added to a text's length, so that a few capitals say little of a short text.
 SHORT = 100
 SYMBOLS = "#$%&*+<=>@\\^_`{|}~[]/"
-FEATURES = ("upper", "symbols", "digits", "shouts", "repeats", "spaces", "words")
+FEATURES = ("upper", "symbols", "digits", "shouts", "repeats", "density", "words")
 #: More bins than any feature has.
 BINS = 40
 #: No site is trusted as if it had fewer or more than so many documents of its own.
@@ -51,11 +51,12 @@ def features(text: Column) -> Column:
 def _bins(whole: Column, size: Column, words: Column) -> Column:
     count = F.size(words)
 
-    def share(removed: str) -> Column:
-        return (F.length(whole) - F.length(F.translate(whole, removed, ""))) / (size + SHORT)
+    def share(some: str) -> Column:
+        return F.regexp_count(whole, F.lit(some)) / (size + SHORT)
 
     repeats = F.size(F.filter(words, lambda w, i: (w != "") & (w == F.get(words, i - 1)))) / (count + SHORT / 10)
-    shares = F.array(share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), share(SYMBOLS), share("0123456789"), share("!?"), repeats, share(" \n\t\r"))
+    symbols = "[" + "".join(f"\\{c}" for c in SYMBOLS) + "]"
+    shares = F.array(share("[A-Z]"), share(symbols), share("[0-9]"), share("[!?]"), repeats, count / (size + SHORT))
     edges = F.array(*[F.lit(edge) for edge in EDGES])
     binned = F.transform(shares, lambda s: F.size(F.filter(edges, lambda edge: s > edge)))
     return F.concat(binned, F.array(F.floor(F.log2(count.cast("double")) / 2).cast("int")))

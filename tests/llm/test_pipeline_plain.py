@@ -16,7 +16,7 @@ def plain_bins(text):
     words = re.split(r"[\x20\x09-\x0D]+", text)
     shares = [sum(c in some for c in text) / (len(text) + quality.SHORT) for some in ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", quality.SYMBOLS, "0123456789", "!?")]
     shares.append(sum(a != "" and a == b for a, b in zip(words, words[1:])) / (len(words) + quality.SHORT / 10))
-    shares.append(sum(c in " \n\t\r" for c in text) / (len(text) + quality.SHORT))
+    shares.append(len(words) / (len(text) + quality.SHORT))
     return [sum(s > edge for edge in quality.EDGES) for s in shares] + [math.floor(math.log2(len(words)) / 2)]
 
 
