@@ -44,19 +44,26 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
-    """Signed 64 bits: bit i is set if it is set in over half the hashes of the shingles."""
+def shingle_hashes(text: bytes, words: int = 3, seed: int = 42) -> np.ndarray:
+    """Hashes of all runs of `words` words, of a shorter text's only run; none without words."""
     import xxhash
 
     parts = text.translate(LOWER).split()
     if not parts:
-        return 0
+        return np.empty(0, dtype="<u8")
     width = min(words, len(parts))
     sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
     ends = np.cumsum(sizes + 1) - 1
     starts = (ends - sizes)[: len(parts) - width + 1].tolist()
     joined, digest = b" ".join(parts), xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)], dtype="<u8")
+    return np.array([digest(joined[a:b], seed) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)], dtype="<u8")
+
+
+def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
+    """Signed 64 bits: bit i is set if it is set in over half the hashes of the shingles."""
+    hashes = shingle_hashes(text, words, seed)
+    if not len(hashes):
+        return 0
     votes = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), AT_ONCE):
         some = hashes[at : at + AT_ONCE]
