@@ -109,3 +109,16 @@ select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_acc
        sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
 from docs left join told using (doc_id)
 """
+
+#: Groups of texts that are equal once A to Z are lower-cased.
+EXACT_DEDUP = """
+    with hashed as (
+        select doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as text_sha256
+        from documents
+    ),
+    grouped as (
+        select text_sha256, max(doc_id) as keep_id, count(*) as group_size from hashed group by text_sha256
+    )
+    select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256
+    from hashed join grouped using (text_sha256)
+"""

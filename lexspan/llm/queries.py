@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspan.llm import byte_bpe, fingerprints, langid, oracles, packing, quality, secret_scan, simhash_dedup, token_store, topk, url_filter
+from lexspan.llm import (
+    byte_bpe, exact_dedup, fingerprints, langid, oracles, packing, quality, secret_scan, simhash_dedup, spelling, token_store, topk, url_filter, whitening,
+)
 from lexspan.llm.scratch import fresh_folder, small_batches, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,8 +134,29 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, base), F.sha2(secret_scan.joined(F.col("found"), base).cast("binary"), 256).alias("base_sha256"), secret_scan.joined(F.col("found")).alias("spans"))
 
 
+@query
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts among all documents, and the document of each that stays."""
+    return exact_dedup.decide(table(spark, sf_dir, "documents"), digest="text_sha256")
+
+
+@query
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the documents with its commonest near word and the root of its chain."""
+    small_batches(spark)
+    return spelling.group(spelling.words(table(spark, sf_dir, "documents")))
+
+
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the first eight components of the exact scatter, whitened."""
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.expr("try_cast(deviation as long)"))
+
+
 ORACLES |= {
     "op5_url_filter": oracles.URL_FILTER.format(start=CRAWL_START),
     "op7_top_k": oracles.TOP_K,
     "op9_secrets": oracles.SECRETS,
+    "op11_exact_dedup": oracles.EXACT_DEDUP,
 }

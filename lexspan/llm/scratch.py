@@ -33,3 +33,8 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """`use` of `value`, computed once: in a lambda, a column is computed for every element."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def fresh(name: str) -> str:
+    """A column name that no table has."""
+    return f"_{name}_{uuid.uuid4().hex[:12]}"
