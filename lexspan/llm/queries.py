@@ -50,7 +50,7 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the ids of every document as bit-plane files and read the files back."""
     small_batches(spark)
     folder = fresh_folder(spark, "tokens")
-    token_store.write(table(spark, sf_dir, "documents"), folder, file_of("word_bpe_49k.json").decode(), end_id=1)
+    token_store.write(table(spark, sf_dir, "documents"), folder, file_of("word_bpe_49k.json").decode(), end_id=1, special_tokens=True)
     return token_store.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
