@@ -10,7 +10,7 @@ def load():
     for module in (
         "text", "sources", "structure", "metadata", "governance", "chunking", "vectors",
         "analysis", "retrieval", "ranking", "grounding", "evaluation", "integrity",
-        "conversations", "streams", "search",
+        "conversations", "streams", "search", "whole",
     ):
         try:
             importlib.import_module(f"lexspan.catalog.{module}")

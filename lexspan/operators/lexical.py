@@ -227,27 +227,23 @@ def lone_profiles(fields: DataFrame, k: int) -> DataFrame:
     return some.withColumn("place", F.row_number().over(first)).where(F.col("place") <= k).drop("place")
 
 
-def lexical_top(queries: DataFrame, chunks: DataFrame, index: DataFrame, today_year: Column, k: int = TOP,
-                small: bool | None = None) -> DataFrame:
-    """Best k chunks per question: half BM25 plus rule score, in time, above zero.
-
-    `queries` carries `q_year`, `historical` and the exact constraints. Chunks that share
-    no word can still score by their kind: the first k of each profile always compete.
-    """
-    fields = chunk_features(chunks)
-    sham = set(SHAM.split())
-    asked = queries.select(
+def asked_fields(queries: DataFrame) -> DataFrame:
+    """What bonuses and filters need to know of a question."""
+    return queries.select(
         "query_id", "request_type", "c_clauses", "c_articles", "year_hint", "q_year", "historical",
-        F.exists("key_phrases", lambda p: F.size(F.array_except(strings(sorted(sham)), tx.match_tokens(p))) == 0).alias("asks_sham"),
+        F.exists("key_phrases", lambda p: F.size(F.array_except(strings(sorted(set(SHAM.split()))), tx.match_tokens(p))) == 0).alias("asks_sham"),
         F.contains(tx.match_form(F.col("normalized_query")), F.lit("an le")).alias("asks_precedent"))
 
-    def scored(rows: DataFrame) -> DataFrame:
-        current = (state(F.col("q_year"), today_year) != "expired") | F.col("historical")
-        rows = rows.where(current & within_year_hint())
-        score = F.col("bm25") * BM25_SHARE + F.col("phrase_score") + context_bonus()
-        return rows.select("query_id", "chunk_id", "bm25", F.round(score, 6).alias("lexical")).where(F.col("lexical") > 0)
 
-    direct = scored(text_matches(queries, index, small).join(fields, "chunk_id").join(asked, "query_id"))
+def in_time_scores(rows: DataFrame, today_year: Column) -> DataFrame:
+    """`query_id, chunk_id, bm25, lexical` of rows that are in time and score above zero."""
+    current = (state(F.col("q_year"), today_year) != "expired") | F.col("historical")
+    score = F.col("bm25") * BM25_SHARE + F.col("phrase_score") + context_bonus()
+    return rows.where(current & within_year_hint()).select("query_id", "chunk_id", "bm25", F.round(score, 6).alias("lexical")).where(F.col("lexical") > 0)
+
+
+def lone_rows(asked: DataFrame, fields: DataFrame, k: int) -> DataFrame:
+    """Questions with the chunks that can score for them by their kind alone, k of each profile."""
     wanted = F.concat(
         F.array_compact(F.array(
             F.when(F.col("request_type") == "validity_question", F.lit("validity")),
@@ -259,9 +255,21 @@ def lexical_top(queries: DataFrame, chunks: DataFrame, index: DataFrame, today_y
     )
     asking = asked.withColumn("kind", F.explode(F.array_distinct(wanted)))
     profiles = lone_profiles(fields, k).withColumn("kind", F.explode("kinds")).drop("kinds")
-    met = asking.join(profiles, "kind").withColumns({"bm25": F.lit(0.0), "phrase_score": F.lit(0.0)})
+    return asking.join(profiles, "kind").withColumns({"bm25": F.lit(0.0), "phrase_score": F.lit(0.0)})
+
+
+def lexical_top(queries: DataFrame, chunks: DataFrame, index: DataFrame, today_year: Column, k: int = TOP,
+                small: bool | None = None) -> DataFrame:
+    """Best k chunks per question: half BM25 plus rule score, in time, above zero.
+
+    `queries` carries `q_year`, `historical` and the exact constraints. Chunks that share
+    no word can still score by their kind: the first k of each profile always compete.
+    """
+    fields = chunk_features(chunks)
+    asked = asked_fields(queries)
+    direct = in_time_scores(text_matches(queries, index, small).join(fields, "chunk_id").join(asked, "query_id"), today_year)
+    both = direct.unionByName(in_time_scores(lone_rows(asked, fields, k), today_year))
     # A chunk that also matched by words scores no less there, which counts.
-    both = direct.unionByName(scored(met)).groupBy("query_id", "chunk_id").agg(F.max(F.struct("lexical", "bm25")).alias("best"))
-    rows = both.select("query_id", "chunk_id", "best.bm25", "best.lexical")
+    rows = both.groupBy("query_id", "chunk_id").agg(F.max(F.struct("lexical", "bm25")).alias("best")).select("query_id", "chunk_id", "best.bm25", "best.lexical")
     place = Window.partitionBy("query_id").orderBy(F.desc("lexical"), "chunk_id")
     return rows.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)

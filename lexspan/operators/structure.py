@@ -770,3 +770,40 @@ def locate_sections(sections: DataFrame, pages: DataFrame) -> DataFrame:
     return best.select(
         "doc_id", "section", F.coalesce("direct", "wrapped").alias("page"),
     ).where(F.col("page").isNotNull()).withColumn("locator_confidence", F.lit("section_text"))
+
+
+# ---- page locations by offsets ------------------------------------------------
+#: Characters in a bucket of offsets: a page and a span meet where they share one.
+OFFSET_BUCKET = 4096
+
+
+def page_extents(pages: DataFrame) -> DataFrame:
+    """`doc_id, page, low, high`: where each page lies in its document's joined text.
+
+    Blank pages take part neither in the text nor in the offsets; a page's line break
+    belongs to it.
+    """
+    kept = pages.where(tx.strip(F.col("text")) != "").select("doc_id", "page", (F.length("text") + 1).alias("size"))
+    upto = F.sum("size").over(Window.partitionBy("doc_id").orderBy("page"))
+    return kept.select("doc_id", "page", (upto - F.col("size")).alias("low"), upto.alias("high"))
+
+
+def locate_spans(spans: DataFrame, pages: DataFrame) -> DataFrame:
+    """Add `page_start, page_end` to spans (`doc_id, start, end`: offsets from 0, the end not included).
+
+    A join of intervals: prefix sums of page lengths give each page its extent, and both
+    sides meet by document and bucket of offsets, so that a document of many pages is
+    many small groups. An empty span lies on the page of its start; spans beyond the
+    text are left out.
+    """
+    width = F.lit(OFFSET_BUCKET)
+    cut = page_extents(pages).withColumn("bucket", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor((F.col("high") - 1) / width))))
+
+    def at(rows: DataFrame, place: Column, out: str) -> DataFrame:
+        side = cut.select(F.col("doc_id").alias("_doc"), F.col("page").alias(out), "low", "high", "bucket")
+        probed = rows.withColumn("_at", place)
+        inside = (F.col("_at") >= F.col("low")) & (F.col("_at") < F.col("high"))
+        met = probed.join(side, (F.col("doc_id") == F.col("_doc")) & (F.floor(F.col("_at") / width) == F.col("bucket")) & inside)
+        return met.drop("_doc", "_at", "low", "high", "bucket")
+
+    return at(at(spans, F.col("start"), "page_start"), F.greatest(F.col("start"), F.col("end") - 1), "page_end")

@@ -93,3 +93,28 @@ def test_duplicate_chunks_fail_their_document(spark):
     good, failed = ck.reject_duplicates(rows)
     assert [r["doc_id"] for r in good.collect()] == ["b"]
     assert failed.first()["sample"] == ["a1"]
+
+
+def test_spans_lie_on_the_pages_of_their_offsets(spark):
+    """Against the joined text itself: long pages over several buckets, blank pages, empty and overlong spans."""
+    import random
+
+    pick = random.Random(6)
+    pages = []
+    for doc in range(4):
+        for page in range(1, 30):
+            text = "" if page % 5 == 0 else " \n" if page % 7 == 0 else "x" * pick.choice([1, 80, 4095, 4096, 9000])
+            pages.append((doc, page, text))
+    whole, spans = {}, []
+    for doc in range(4):
+        kept = [(p, t) for d, p, t in pages if d == doc and t.strip()]
+        whole[doc] = [p for p, t in kept for _ in range(len(t) + 1)]
+        for n in range(200):
+            start = pick.randrange(len(whole[doc]))
+            spans.append((doc, n, start, min(len(whole[doc]), start + pick.choice([0, 1, 50, 20_000]))))
+        spans.append((doc, 999, len(whole[doc]) + 5, len(whole[doc]) + 9))
+    found = st.locate_spans(
+        spark.createDataFrame(spans, "doc_id int, n int, start long, end long"), spark.createDataFrame(pages, "doc_id int, page int, text string").repartition(3))
+    got = {(row.doc_id, row.n): (row.page_start, row.page_end) for row in found.collect()}
+    want = {(d, n): (whole[d][a], whole[d][max(a, b - 1)]) for d, n, a, b in spans if n != 999}
+    assert got == want
