@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexspan.functions import text as tx
+from lexspan.operators.names import names_in
 
 # ---- fixed values ---------------------------------------------------------
 SOURCE_ORDER = ("bo_luat", "nghi_quyet", "nghi_dinh", "an_le")
@@ -155,7 +156,7 @@ YEAR = r"\b(19\d{2}|20\d{2})\b"
 HISTORY_TERMS = "het hieu luc | thay the | van ban cu | truoc khi | tai thoi diem | lich su"
 ARTICLE_REF = r"(?:khoan\s+(\d+)\s+)?dieu\s+(\d+[a-z]?)\b"
 PRECEDENT_REF = r"\ban\s+le\s+so\s+(\d+\s*/\s*\d{4}\s*/\s*al)\b"
-MAX_VARIANTS, GRAM = 10, 6
+MAX_VARIANTS = 10
 # ---------------------------------------------------------------------------
 
 EMPTY = "array<string>"
@@ -389,36 +390,13 @@ def alias_terms(registry: DataFrame) -> DataFrame:
     )
 
 
-def _rarest_grams(terms: DataFrame) -> DataFrame:
-    """Each name with the one of its character grams that the fewest names have.
-
-    Names of a kind begin alike; their numbers and last words tell them apart. A name
-    shorter than a gram is its own.
-    """
-    size = F.length("term")
-    starts = F.sequence(F.lit(1), F.greatest(size - GRAM + 1, F.lit(1)))
-    grams = terms.select("doc_id", "term", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("term"), i, F.lit(GRAM))))).alias("gram"))
-    shared = grams.groupBy("gram").agg(F.count("*").alias("names"))
-    return grams.join(shared, "gram").groupBy("doc_id", "term").agg(F.min(F.struct("names", "gram")).alias("best")).select("doc_id", "term", F.col("best.gram").alias("gram"))
-
-
 def resolve_documents(texts: DataFrame, terms: DataFrame, key: str) -> DataFrame:
     """Documents whose name is contained in a text: `key, doc_ids array`.
 
-    Containment becomes an equi-join: the rarest gram of a name must be one of the
-    text's character grams. Only ids are shuffled by gram; texts come back for the
-    matches, to compare whole names.
+    Texts stream past an automaton of the names (`names.names_in`); only matches are shuffled.
     """
-    named = _rarest_grams(terms.where(F.length("term") > 0).select("doc_id", "term").distinct())
-    size = F.length("text")
-    grams = F.flatten(F.transform(
-        F.sequence(F.lit(1), F.lit(GRAM)),
-        lambda n: F.when(n <= size, F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substring(F.col("text"), i, n)))
-        .otherwise(strings()),
-    ))
-    probes = texts.select(key, F.explode(F.array_distinct(grams)).alias("gram"))
-    may = probes.join(named, "gram").select(key, "term", "doc_id")
-    hits = may.join(texts.select(key, "text"), key).where(F.contains("text", "term"))
+    named = terms.where(F.length("term") > 0).select("doc_id", "term").distinct()
+    hits = names_in(texts, named, key).join(named, "term")
     return hits.groupBy(key).agg(F.sort_array(F.collect_set("doc_id")).alias("doc_ids"))
 
 

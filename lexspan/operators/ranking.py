@@ -472,7 +472,7 @@ def diversify(df: DataFrame, k: int, score: str = "final") -> DataFrame:
 def expand(ranked: DataFrame, chunks: DataFrame, seeds: int = SEEDS) -> DataFrame:
     """One hop over citation links: chunks of documents the best hits refer to.
 
-    Names are resolved to documents once (a gram equi-join); per document only
+    Names are resolved to documents once (by an automaton of the targets); per document only
     as many chunks are read as a question could still take.
     """
     target = F.concat(
