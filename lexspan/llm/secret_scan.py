@@ -9,7 +9,10 @@ the log-likelihood ratio of its character pairs, per pair, passes a threshold. T
 ratios are whole thousandths, so sums don't depend on their order.
 
 Positions count code points: a text is split at the matches of a pattern, and the
-lengths of what lies between and of the matches add up to starts and ends.
+lengths of what lies between and of the matches add up to starts and ends. Work grows
+with a text's length and the number of its spans, not with their product: lists are
+built in blocks, overlaps are found by bisection, and a text is masked from blocks of
+its own.
 
 Cases: a null text has no spans, as an empty one; a row is scanned by itself, so
 repeated rows and missing ids need no care; an empty table, or one without samples,
@@ -17,9 +20,13 @@ gives models that know nothing and add no spans; columns named like the
 results are replaced.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexspan.llm.scratch import fresh, let
+
 # The patterns of the base spans.
 KINDS = ("assign", "access", "hex", "markov")
 KEYWORDS = r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
@@ -44,6 +51,29 @@ def _pieces(text: Column, pattern: str) -> tuple[Column, Column]:
 
 
 SPANS = "array<struct<start:int,end:int,value:string>>"
+#: Spans, and code points, in a block.
+BLOCK = 512
+
+
+def _none(kind: str) -> Column:
+    return F.from_json(F.lit("[]"), kind)
+
+
+def _listed(items: Column, kind: str, step: Callable[[Column, Column], Column]) -> Column:
+    """Spans that `step` appends to (at, spans) from item to item.
+
+    An array grows by copying it, so it grows within blocks, which are put together last.
+    """
+    count = F.size(items)
+    blocks = F.when(count > 0, F.transform(F.sequence(F.lit(0), ((count - 1) / BLOCK).cast("int")), lambda b: F.slice(items, b * BLOCK + 1, F.lit(BLOCK)))).otherwise(
+        F.slice(F.array(items), 1, 0))
+
+    def block(state: Column, some: Column) -> Column:
+        inner = F.aggregate(some, F.struct(state["at"].alias("at"), _none(kind).alias("spans")), step)
+        return let(inner, lambda x: F.struct(x["at"].alias("at"), F.concat(state["out"], F.array(x["spans"])).alias("out")))
+
+    begin = F.struct(F.lit(0).alias("at"), _none(f"array<{kind}>").alias("out"))
+    return F.aggregate(blocks, begin, block, lambda state: F.flatten(state["out"]))
 
 
 def _located(found: Column, between: Column) -> Column:
@@ -55,8 +85,22 @@ def _located(found: Column, between: Column) -> Column:
         # What lies after the last match has no match beside it.
         return F.when(x["value"].isNull(), state).otherwise(F.struct(end.alias("at"), F.concat(state["spans"], F.array(spot)).alias("spans")))
 
-    begin = F.struct(F.lit(0).alias("at"), F.from_json(F.lit("[]"), SPANS).alias("spans"))
-    return F.aggregate(F.arrays_zip(found.alias("value"), between.alias("gap")), begin, step, lambda state: state["spans"])
+    return let(F.arrays_zip(found.alias("value"), between.alias("gap")), lambda items: _listed(items, SPANS, step))
+
+
+def _touches(spans: Column, s: Column) -> Column:
+    """Whether one of `spans`, which ascend and lie apart, overlaps `s`: the last that starts before its end would."""
+    count = F.size(spans)
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(count + 1)).cast("int") + 1)
+    # Invariant: the spans below `low` start before the end of `s`, those from `high` on don't.
+    def halve(state: Column, _: Column) -> Column:
+        middle = ((state["low"] + state["high"]) / 2).cast("int")
+        before = F.get(spans, middle)["start"] < s["end"]
+        return F.when(state["low"] >= state["high"], state).when(before, F.struct((middle + 1).alias("low"), state["high"].alias("high"))).otherwise(
+            F.struct(state["low"].alias("low"), middle.alias("high")))
+
+    last = F.aggregate(steps, F.struct(F.lit(0).alias("low"), count.alias("high")), halve, lambda state: state["low"] - 1)
+    return (count > 0) & let(last, lambda at: (at >= 0) & (F.get(spans, at)["end"] > s["start"]))
 
 
 def spans_of(text: Column, pattern: str) -> Column:
@@ -124,8 +168,9 @@ def scan(df: DataFrame, model: dict[str, int], text: str = "text", threshold: in
     """Add `out`: array of (kind, start, end) by start, then kind in the order of KINDS."""
     whole = F.coalesce(F.col(text), F.lit(""))
     base = base_spans(whole)
-    near = {kind: F.col(f"_{kind}") for kind in base}
-    marked = df.withColumns({f"_{kind}": spans for kind, spans in base.items()}).withColumn("_runs", spans_of(whole, RUN))
+    held = {kind: fresh(kind) for kind in base}
+    near, runs = {kind: F.col(name) for kind, name in held.items()}, fresh("runs")
+    marked = df.withColumns({held[kind]: spans for kind, spans in base.items()}).withColumn(runs, spans_of(whole, RUN))
     side = len(ALPHABET) + 1
     table = [0] * (side * side)
     for pair, score in model.items():
@@ -143,10 +188,10 @@ def scan(df: DataFrame, model: dict[str, int], text: str = "text", threshold: in
     def free(s: Column) -> Column:
         taken = F.lit(False)
         for kind in base:
-            taken = taken | F.exists(near[kind], lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+            taken = taken | _touches(near[kind], s)
         return ~taken
 
-    added = F.filter("_runs", lambda s: free(s) & looks_random(s))
+    added = F.filter(runs, lambda s: free(s) & looks_random(s))
 
     def ranked(spans: Column, kind: int) -> Column:
         return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end")))
@@ -154,7 +199,7 @@ def scan(df: DataFrame, model: dict[str, int], text: str = "text", threshold: in
     parts = [ranked(spans, kind) for kind, spans in enumerate([*near.values(), added])]
     names = F.array(*[F.lit(kind) for kind in KINDS])
     ordered = F.transform(F.array_sort(F.concat(*parts)), lambda s: F.struct(F.get(names, s["kind"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return marked.withColumn(out, ordered).drop("_runs", *[f"_{kind}" for kind in base])
+    return marked.withColumn(out, ordered).drop(runs, *held.values())
 
 
 def joined(found: Column, kinds: tuple[str, ...] = KINDS) -> Column:
@@ -165,14 +210,32 @@ def joined(found: Column, kinds: tuple[str, ...] = KINDS) -> Column:
 
 def masked(df: DataFrame, text: str = "text", found: str = "found", mask: str = "<secret>") -> DataFrame:
     """The texts with every found span replaced by `mask`; overlapping spans by one."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    merged = F.aggregate(
-        found,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda state, s: F.when(
-            s["start"] >= state["at"],
-            F.struct(s["end"].alias("at"), F.concat(state["out"], F.substring(whole, state["at"] + 1, s["start"] - state["at"]), F.lit(mask)).alias("out")),
-        ).otherwise(F.struct(F.greatest(s["end"], state["at"]).alias("at"), state["out"].alias("out"))),
-        lambda state: F.concat(state["out"], F.substring(whole, state["at"] + 1, F.length(whole))),
-    )
-    return df.withColumn(text, F.when(F.size(found) > 0, merged).otherwise(F.col(text)))
+    held, places = fresh("held"), fresh("places")
+    kind = "array<struct<start:int,end:int>>"
+
+    def step(state: Column, s: Column) -> Column:
+        apart = F.struct(s["end"].alias("at"), F.concat(state["spans"], F.array(F.struct(s["start"].alias("start"), s["end"].alias("end")))).alias("spans"))
+        # What overlaps the spans so far only moves the end; the start of the next kept text follows from it.
+        longer = F.struct(F.greatest(s["end"], state["at"]).alias("at"), F.concat(state["spans"], F.array(F.struct(F.lit(-1).alias("start"), F.greatest(s["end"], state["at"]).alias("end")))).alias("spans"))
+        return F.when(s["start"] >= state["at"], apart).otherwise(longer)
+
+    count = F.size(places)
+    blocks = F.regexp_extract_all(F.col(text), F.lit(f"(?s)(.{{1,{BLOCK}}})"), F.lit(1))
+
+    def piece(start: Column, end: Column) -> Column:
+        """Code points from `start` to `end`, from the blocks that they lie in."""
+        first = (start / BLOCK).cast("int")
+        some = F.array_join(F.slice(F.col(held), first + 1, ((end - 1) / BLOCK).cast("int") - first + 1), "")
+        return F.when(end > start, F.substring(some, start % BLOCK + 1, end - start)).otherwise(F.lit(""))
+
+    def kept(i: Column) -> Column:
+        start = F.when(i == 0, F.lit(0)).otherwise(F.get(places, i - 1)["end"])
+        return let(F.get(places, i)["start"], lambda at: F.when(at < 0, F.lit(None)).otherwise(piece(start, at)))
+
+    before = F.transform(F.sequence(F.lit(0), count - 1), kept)
+    joined_ = F.array_join(F.transform(F.array_compact(before), lambda x: F.concat(x, F.lit(mask))), "")
+    rest = piece(F.get(places, count - 1)["end"], F.col(size := fresh("size")))
+    marked = df.withColumns({
+        places: F.when(F.size(found) > 0, _listed(F.col(found), kind, step)),
+        held: F.when(F.size(found) > 0, blocks), size: F.length(text)})
+    return marked.withColumn(text, F.when(F.size(found) > 0, F.concat(joined_, rest)).otherwise(F.col(text))).drop(places, held, size)
