@@ -41,7 +41,7 @@ MAGIC = b"LXPLANE1"
 #: Ids in a block; a block is what a reader fetches and unpacks at once.
 BLOCK = 1 << 16
 #: Pre-tokens of which a worker remembers the ids, twice at most.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 LONGEST_REMEMBERED = 48
 #: Fresh pre-tokens encoded in one text.
 TOGETHER = 256
@@ -184,6 +184,9 @@ class Pieces(dict):
         # str.split() takes four control characters for white space that the pattern doesn't.
         self.odd = re.compile(f"[\x1c-\x1f{chr(NARROW)}-\U0010ffff]").search
         self.special = tuple(one.lower() for one in special)
+        # Whether a stretch of letters is always one pre-token.
+        every = "".join(c for c in map(chr, range(NARROW)) if c.isalpha())
+        self.letters = self.split(every) == [every]
         self.last = None
         if suffix:
             self.last = np.zeros(max(tokenizer.get_vocab().values()) + 1, dtype=bool)
@@ -219,14 +222,18 @@ class Pieces(dict):
         return [array("I", one.ids).tobytes() for one in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
     def _learn(self, fresh: list[str]) -> dict[str, bytes]:
-        cut = {stretch: self.split(stretch) for stretch in fresh}
-        pieces = [one for one in set().union(*cut.values()) if one not in self and one not in self.older]
+        cut = {stretch: self.split(stretch) for stretch in fresh if not (self.letters and stretch.isalpha())}
+        words = fresh if not cut else [one for one in fresh if one not in cut]
+        pieces = words + [one for one in set().union(*cut.values()).difference(words) if one not in self and one not in self.older]
         got = dict(zip(pieces, self._encoded(pieces), strict=True))
         for stretch, own in cut.items():
             if stretch not in got:
                 got[stretch] = b"".join([got.get(one) or self[one] for one in own])
-        for stretch, packed in got.items():
-            self._keep(stretch, packed)
+        if len(self) + len(got) > self.limit:
+            for stretch, packed in got.items():
+                self._keep(stretch, packed)
+        else:
+            self.update({stretch: packed for stretch, packed in got.items() if len(stretch) <= LONGEST_REMEMBERED})
         return got
 
     def ids(self, texts: list[str]) -> list[bytes]:
