@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from lexspan.catalog.corpus import LEGAL_SQL, legal_texts
 from lexspan.catalog.registry import query, table
 from lexspan.catalog.structure import PRECEDENT_WORDS, precedent_texts
+from lexspan.operators import hashtree as ht
 from lexspan.operators import integrity as ig
 from lexspan.operators import structure as st
 
@@ -181,3 +182,32 @@ def vector_checks(spark, folder):
 @query("integrity_snapshot_health", "select count(*) as points, count(*) as readable, 0 as wrong_size, 'ok' as status from embeddings")
 def snapshot_health(spark, folder):
     return ig.snapshot_health(table(spark, folder, "embeddings").withColumn("text", F.lit("x")), 64)
+
+
+def _tree_sql(depths: int = 6) -> str:
+    """The digest of a canonical tree of `p` (item, path), stated level by level."""
+    out = [f"n{depths} as (select substr(path, 1, {depths}) as prefix, sha256(string_agg(item, chr(10) order by item)) as digest from p group by 1)"]
+    for d in range(depths - 1, -1, -1):
+        out.append(f"""k{d} as (select substr(path, 1, {d}) as prefix, count(*) as n from p group by 1),
+n{d} as (select substr(path, 1, {d}) as prefix, sha256(string_agg(item, chr(10) order by item)) as digest from p where substr(path, 1, {d}) in (select prefix from k{d} where n <= {ht.CAPACITY}) group by 1
+ union all select substr(prefix, 1, {d}), sha256(string_agg(prefix || ':' || digest, chr(10) order by prefix)) from n{d + 1} where substr(prefix, 1, {d}) in (select prefix from k{d} where n > {ht.CAPACITY}) group by 1)""")
+    return ",\n".join(out)
+
+
+@query("integrity_tree_digest", "with p as (select item, sha256(item) as path from (select distinct l_orderkey || '_' || l_linenumber as item from lineitem)),\n" + _tree_sql() + "\nselect digest from n0")
+def tree_digest(spark, folder):
+    """Digest of the ids by a tree whose depth follows from a fixed leaf size."""
+    rows = table(spark, folder, "lineitem").select(F.concat_ws("_", "l_orderkey", "l_linenumber").alias("id"))
+    return ht.build(rows, "id").root()
+
+
+@query("integrity_tree_difference", """
+select coalesce(d.id, l.id) as id, case when l.id is null then 'missing' else 'orphan' end as side
+from (select distinct cast(doc_id as varchar) as id from documents) d
+full join (select distinct cast(case when doc_id % 3 = 0 then -1 - doc_id else doc_id end as varchar) as id from labels) l on l.id = d.id
+where l.id is null or d.id is null""")
+def tree_difference(spark, folder):
+    """Ids on one side only, from two stored trees."""
+    labels = table(spark, folder, "labels").select(F.when(F.col("doc_id") % 3 == 0, -1 - F.col("doc_id")).otherwise(F.col("doc_id")).alias("id"))
+    only, _ = ht.difference(ht.build(table(spark, folder, "documents"), "doc_id"), ht.build(labels, "id"))
+    return only.select(F.col("item").alias("id"), "side")
