@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -166,8 +167,8 @@ def publish_snapshot(df: DataFrame, root: str, expected_rows: int | None = None,
 
     Readers follow the pointer of the greatest version, so they see the old or the new
     snapshot, never a part of one. Publishers may work at the same time: each writes a
-    folder of its own, and one that is not pointed to yet is spared for `grace` seconds.
-    Returns the snapshot id.
+    folder of its own and claims a version of its own, and a folder that is not pointed to
+    yet is spared for `grace` seconds. Returns the snapshot id.
     """
     spark = df.sparkSession
     snapshot = uuid.uuid4().hex
@@ -176,18 +177,43 @@ def publish_snapshot(df: DataFrame, root: str, expected_rows: int | None = None,
     rows = spark.read.parquet(path).count()
     if rows == 0 or (expected_rows is not None and rows != expected_rows):
         raise RuntimeError(f"snapshot {snapshot} has {rows} rows, expected {expected_rows}")
-    version = 1 + (_pointers(spark, root).agg(F.max("version").alias("v")).first().v or 0) if _exists(spark, f"{root}/_pointers") else 1
+    version = claim_version(spark, root)
     pointer = spark.range(1).select(
         F.lit(snapshot).alias("snapshot"), F.lit(version).cast("long").alias("version"), F.lit(rows).cast("long").alias("rows"),
         F.current_timestamp().alias("published_at"),
     )
-    pointer.coalesce(1).write.mode("append").json(f"{root}/_pointers")
+    # A folder for each version: two writers of one folder would clear each other's work.
+    pointer.coalesce(1).write.json(f"{root}/_pointers/{version:012d}")
     drop_stale_snapshots(spark, root, keep, grace)
     return snapshot
 
 
+def claim_version(spark: SparkSession, root: str) -> int:
+    """The next version, for this caller alone: its file is created only if it is not there.
+
+    Creating a file that must not exist is one step for the file system (HDFS) or a
+    conditional put (object stores), so of two publishers one gets the version and the
+    other tries the next. A version that was claimed and never published is a gap.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_versions")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(folder)
+    taken = [int(status.getPath().getName()) for status in fs.listStatus(folder) if status.getPath().getName().isdigit()]
+    known = _pointers(spark, root).agg(F.max("version").alias("v")).first().v if _exists(spark, f"{root}/_pointers") else 0
+    version = max([known or 0, *taken]) + 1
+    while True:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_versions/{version:012d}")
+        try:
+            fs.create(path, False).close()
+            return version
+        except Py4JJavaError as error:
+            if not fs.exists(path):
+                raise error
+            version += 1
+
+
 def _pointers(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema(POINTER).json(f"{root}/_pointers")
+    return spark.read.schema(POINTER).option("recursiveFileLookup", True).json(f"{root}/_pointers")
 
 
 def live_snapshot(spark: SparkSession, root: str) -> str:

@@ -133,3 +133,16 @@ def test_claims_and_gate(spark):
                                     "query_id string, level string, claims_without_evidence boolean, invalid_evidence_used boolean, short_answer_not_grounded boolean, citation_count int")
     gate = {r["query_id"]: r["grounding_gate_reasons"] for r in gr.grounding_gate(answers).collect()}
     assert gate == {"q": ["claims_without_evidence"], "r": ["no_legal_citation"], "s": []}
+
+
+def test_publishers_at_once_get_versions_of_their_own(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = f"file://{tmp_path}/many"
+    with ThreadPoolExecutor(6) as pool:
+        names = list(pool.map(lambda n: tb.publish_snapshot(spark.range(n + 1), root, keep=6), range(6)))
+        claimed = list(pool.map(lambda _: tb.claim_version(spark, root), range(8)))
+    rows = tb._pointers(spark, root).orderBy("version").collect()
+    assert [row.version for row in rows] == [1, 2, 3, 4, 5, 6] and {row.snapshot for row in rows} == set(names)
+    assert tb.live_snapshot(spark, root) == rows[-1].snapshot
+    assert sorted(claimed) == list(range(7, 15))
