@@ -50,10 +50,11 @@ CITATION_WORDS = (
     ("Mục", r"\d+"),
 )
 GROUNDING_STOPWORDS = (
-    "theo cua của va và la là co có khong không duoc được phai phải neu nếu thi thì cho trong "
-    "mot một cac các ve về voi với tu từ tai tại nay này do đó can cần se sẽ hoac hoặc khi "
-    "nhung những noi nội dung quy dinh định phap pháp luat luật van văn ban bản"
-).split()
+    "theo", "cua", "của", "va", "và", "la", "là", "co", "có", "khong", "không", "duoc", "được", "phai", "phải", "neu",
+    "nếu", "thi", "thì", "cho", "trong", "mot", "một", "cac", "các", "ve", "về", "voi", "với", "tu", "từ", "tai",
+    "tại", "nay", "này", "do", "đó", "can", "cần", "se", "sẽ", "hoac", "hoặc", "khi", "nhung", "những", "noi", "nội",
+    "dung", "quy", "dinh", "định", "phap", "pháp", "luat", "luật", "van", "văn", "ban", "bản",
+)
 INJECTION_PATTERNS = (
     r"bo\s*qua\s*cac\s*lenh",
     r"bỏ\s*qua\s*các\s*lệnh",

@@ -1,7 +1,8 @@
 """Question analysis: ordered rules as data, compiled to Column expressions.
 
 A condition is written as alternatives of term lists: `a + b | c` holds when
-both `a` and `b`, or `c`, occur in the folded question.
+both `a` and `b`, or `c`, occur in the folded question; a tuple of terms holds when
+one of them does.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ SOURCE_ORDER = ("bo_luat", "nghi_quyet", "nghi_dinh", "an_le")
 CIVIL, CRIMINAL = "Bộ luật Dân sự", "Bộ luật Hình sự"
 DECREE_21, DECREE_99 = "Nghị định 21/2021/NĐ-CP", "Nghị định 99/2022/NĐ-CP"
 OUT_OF_SCOPE = (
-    "thoi tiet | hom nay | thue thu nhap | thue gia tri gia tang | tinh thue | ban co phan | lach luat | tron thue"
-    " | nguoi lao dong | sa thai | ly hon | nuoi con | khieu nai quyet dinh xu phat hanh chinh | xu phat hanh chinh"
+    "thoi tiet", "hom nay", "thue thu nhap", "thue gia tri gia tang", "tinh thue", "ban co phan", "lach luat",
+    "tron thue", "nguoi lao dong", "sa thai", "ly hon", "nuoi con", "khieu nai quyet dinh xu phat hanh chinh",
+    "xu phat hanh chinh",
 )
 # (request type, condition, targets, key phrases, scenario terms); first hit wins.
 ROUTES = (
@@ -45,17 +47,24 @@ ROUTES = (
      ("hiệu lực đối kháng", "người thứ ba", "đăng ký", "thế chấp"), ()),
     ("validity_question", "the chap + hieu luc", ("Điều 319",), ("thế chấp", "hiệu lực", "công chứng", "chứng thực"), ()),
 )
-FALLBACK_VALIDITY = "hieu luc | het hieu luc | thay the | con ap dung | bi bai bo"
-FALLBACK_SCENARIO = "neu  | truong hop | tinh huong | co duoc | phai lam gi | xay ra"
+FALLBACK_VALIDITY = (
+    "hieu luc", "het hieu luc", "thay the", "con ap dung", "bi bai bo",
+)
+FALLBACK_SCENARIO = (
+    "neu ", "truong hop", "tinh huong", "co duoc", "phai lam gi", "xay ra",
+)
 MISSING_FACTS = (
-    "chi noi | chi biet | chi co | chi dua vao | chi nghe noi | khong giu loi | khong cung cap | thieu thong tin"
-    " | chua ro | khong ro | khong biet | can bo sung | co the ket luan ngay khong | chua du tinh tiet"
+    "chi noi", "chi biet", "chi co", "chi dua vao", "chi nghe noi", "khong giu loi", "khong cung cap",
+    "thieu thong tin", "chua ro", "khong ro", "khong biet", "can bo sung", "co the ket luan ngay khong",
+    "chua du tinh tiet",
 )
 LEGAL_FACTS = (
-    "hop dong | giao dich | vo hieu | boi thuong | tranh chap | quyen | nghia vu | hinh su | thuong tat | hanh vi"
-    " | thoi diem | giay to | chu the"
+    "hop dong", "giao dich", "vo hieu", "boi thuong", "tranh chap", "quyen", "nghia vu", "hinh su", "thuong tat",
+    "hanh vi", "thoi diem", "giay to", "chu the",
+)
+TRAFFIC = (
+    "lai xe", "say xin", "thuong tat", "tai nan giao thong",
 )
-TRAFFIC = "lai xe | say xin | thuong tat | tai nan giao thong"
 MISSING_HINTS = ("chủ thể", "tự nguyện", "mục đích", "nội dung")
 THIRD_PARTY = "doi khang + nguoi thu ba + dang ky | doi khang + nguoi thu ba + the chap"
 # Topics with their governing authority. mode: add or replace targets; a topic
@@ -118,9 +127,15 @@ TOPICS_THEN = (
 )
 DECREE_99_VALIDITY = "hieu luc | thay the | het hieu luc | con ap dung | hien nay | moi hon | doi chieu"
 DECREE_99_ARTICLES = (("truong hop | phai dang ky", "4"), ("hieu luc | thoi diem | thay the", "6"), ("cung cap thong tin | yeu cau dang ky", "8"))
-LATE_SCENARIO = "neu  | tinh huong | xay ra | muon  | tu y  | nguoi lam  | nguoi chua thanh nien | giao dich cua"
-LATE_VALIDITY = "hieu luc | cong chung | chung thuc | bat dau va cham dut | don phuong cham dut"
-LATE_LOOKUP = "theo quy dinh | can cu nao | quyen | quy dinh | nhu the nao | truong hop nao"
+LATE_SCENARIO = (
+    "neu ", "tinh huong", "xay ra", "muon ", "tu y ", "nguoi lam ", "nguoi chua thanh nien", "giao dich cua",
+)
+LATE_VALIDITY = (
+    "hieu luc", "cong chung", "chung thuc", "bat dau va cham dut", "don phuong cham dut",
+)
+LATE_LOOKUP = (
+    "theo quy dinh", "can cu nao", "quyen", "quy dinh", "nhu the nao", "truong hop nao",
+)
 SCENARIO_TERMS = (
     ("thanh toán", ("thanh toán", "trả tiền", "chưa trả", "đã trả")),
     ("ngân hàng", ("ngân hàng", "tổ chức tín dụng")),
@@ -151,9 +166,13 @@ SOURCE_PHRASES = (
     ("bo_luat", "bo luat | luat"), ("nghi_dinh", "nghi dinh"), ("nghi_quyet", "nghi quyet"),
     ("thong_tu", "thong tu"), ("an_le", "an le"),
 )
-AUTHORITY_WORDS = "bo luat  | luat  | nghi dinh  | nghi quyet  | thong tu  | quyet dinh  | an le "
+AUTHORITY_WORDS = (
+    "bo luat ", "luat ", "nghi dinh ", "nghi quyet ", "thong tu ", "quyet dinh ", "an le ",
+)
 YEAR = r"\b(19\d{2}|20\d{2})\b"
-HISTORY_TERMS = "het hieu luc | thay the | van ban cu | truoc khi | tai thoi diem | lich su"
+HISTORY_TERMS = (
+    "het hieu luc", "thay the", "van ban cu", "truoc khi", "tai thoi diem", "lich su",
+)
 ARTICLE_REF = r"(?:khoan\s+(\d+)\s+)?dieu\s+(\d+[a-z]?)\b"
 PRECEDENT_REF = r"\ban\s+le\s+so\s+(\d+\s*/\s*\d{4}\s*/\s*al)\b"
 MAX_VARIANTS = 10
@@ -162,10 +181,15 @@ MAX_VARIANTS = 10
 EMPTY = "array<string>"
 
 
-def holds(text: Column, condition: str) -> Column:
+def alternatives(condition: str | tuple[str, ...]) -> tuple[str, ...]:
+    """The options of a condition: a list of terms, or `a + b | c`."""
+    return condition if isinstance(condition, tuple) else tuple(condition.split(" | "))
+
+
+def holds(text: Column, condition: str | tuple[str, ...]) -> Column:
     """Compile a condition; a term's own trailing blank counts."""
     options = []
-    for option in condition.split(" | "):
+    for option in alternatives(condition):
         terms = [F.contains(text, F.lit(term)) for term in option.split(" + ")]
         options.append(reduce(lambda a, b: a & b, terms))
     return reduce(lambda a, b: a | b, options)
@@ -294,7 +318,7 @@ def analyse(questions: DataFrame) -> DataFrame:
     # Facts are missing: answer as a scenario, with care.
     missing = holds(plain, MISSING_FACTS) & holds(plain, LEGAL_FACTS)
     df = df.withColumn("insufficient_facts", missing)
-    contract = ~holds(plain, TRAFFIC) & holds(plain, "hop dong | giao dich | vo hieu")
+    contract = ~holds(plain, TRAFFIC) & holds(plain, ("hop dong", "giao dich", "vo hieu"))
     lacking = F.col("insufficient_facts")
     df = df.withColumns({
         "citation_targets": F.when(lacking & contract, union(F.col("citation_targets"), strings(("Điều 117",)))).otherwise(F.col("citation_targets")),

@@ -22,7 +22,7 @@ META_FIELDS = ("citation", "title", "article_title", "chapter_title", "part_kind
 BM25_SHARE = 0.5
 # weights of question parts found in a chunk's text
 NEEDLES = (("keywords", 0.5), ("key_phrases", 3.0), ("scenario_terms", 1.2), ("citation_targets", 6.0))
-SHAM = "giao dich dan su vo hieu do gia tao"
+SHAM = ("giao", "dich", "dan", "su", "vo", "hieu", "do", "gia", "tao")
 TOP = 32
 TERM_ROWS = 500_000
 SALT_ROWS = 200_000
@@ -231,7 +231,7 @@ def asked_fields(queries: DataFrame) -> DataFrame:
     """What bonuses and filters need to know of a question."""
     return queries.select(
         "query_id", "request_type", "c_clauses", "c_articles", "year_hint", "q_year", "historical",
-        F.exists("key_phrases", lambda p: F.size(F.array_except(strings(sorted(set(SHAM.split()))), tx.match_tokens(p))) == 0).alias("asks_sham"),
+        F.exists("key_phrases", lambda p: F.size(F.array_except(strings(SHAM), tx.match_tokens(p))) == 0).alias("asks_sham"),
         F.contains(tx.match_form(F.col("normalized_query")), F.lit("an le")).alias("asks_precedent"))
 
 
