@@ -113,7 +113,7 @@ def chunk_profiles(chunks: DataFrame) -> DataFrame:
         (F.coalesce(F.size(get("transition_notes") if "transition_notes" in chunks.columns else F.array()), F.lit(0)) > 0).alias("has_notes"),
         F.col("citation").rlike(r"(?iuU)Điều\s+\d+").alias("cites_article"),
         tx.match_form(get("article_no")).alias("article_form"), tx.match_form(get("clause_no")).alias("clause_form"),
-        tx.match_tokens(F.col("citation")).alias("citation_words"),
+        tx.match_tokens(F.col("citation")).alias("citation_words"), *[_text(f).alias(f"head_{f}") for f in HEADS],
     )
 
 
@@ -150,80 +150,163 @@ def _asks(words) -> Column:
     return F.exists("key_phrases", lambda p: F.size(F.array_except(an.strings(words), tx.match_tokens(p))) == 0)
 
 
-def metadata_top(queries: DataFrame, chunks: DataFrame, today_year: Column, k: int = TOP) -> DataFrame:
-    """Best k chunks per question by headings, numbers, kind and validity.
+HEADS = ("citation", "title", "article_title", "chapter_title")
+#: Bonus of an article that is the one asked for, that is named in the citation, and of the clause.
+OWN, NAMED, CLAUSE, IN_DOCUMENT = 25.0, 18.0, 35.0, 10.0
+#: Slack of a bound against sums of floats in another order.
+SLACK = 1e-6
+
 
-    Every chunk can score, so the search is bounded without losing any: within
-    one profile all chunks without a match score alike, hence only the k
-    smallest ids of a profile can be among the best. The same holds per article
-    or clause number asked for. Word matches are all kept.
+def metadata_keys(chunks: DataFrame) -> DataFrame:
+    """Per chunk the two halves of its score: `profile` decides the base score, `face` the matches.
+
+    A face is the four headings with article and clause number, so clauses of one kind that
+    are cited alike share it, and headings are read once for each face.
     """
-    asked = queries.withColumns({"asks_sham": _asks(SHAM), "asks_void": _asks(VOID)})
-    profiles = chunk_profiles(chunks)
-    combos = lambda words, tag: F.transform(words, lambda n: F.concat_ws("|", F.concat(F.lit(tag), n), F.concat(F.lit("cl:"), "clause_form")))
+    return chunk_profiles(chunks).withColumns({
+        "profile": F.md5(F.to_json(F.struct(*PROFILE))),
+        "face": F.md5(F.to_json(F.struct(*[f"head_{f}" for f in HEADS], "article_form", "clause_form"))),
+    })
+
+
+def number_keys() -> Column:
+    """Keys of a chunk for numbers asked for: its article, articles its citation names, its clause, and both."""
     cited = F.when(F.array_contains("citation_words", "dieu"), F.filter("citation_words", lambda w: w.rlike(r"^\d+[a-z]?$"))).otherwise(an.strings())
-    keys = F.array_compact(F.concat(
-        F.array(
-            F.lit("all"), F.when(F.col("article_form") != "", F.concat(F.lit("art:"), "article_form")),
-            F.when(F.col("clause_form") != "", F.concat(F.lit("cl:"), "clause_form")),
-            F.when((F.col("article_form") != "") & (F.col("clause_form") != ""), F.concat(F.lit("art:"), "article_form", F.lit("|cl:"), "clause_form")),
-        ),
-        F.transform(cited, lambda n: F.concat(F.lit("cit:"), n)),
-        F.when(F.col("clause_form") != "", combos(cited, "cit:")).otherwise(an.strings()),
-    ))
-    keyed = profiles.select("chunk_id", *PROFILE, F.explode(F.array_distinct(keys)).alias("key"))
-    kept = materialize(top_by(keyed, ["key", *PROFILE], ["chunk_id"], k).drop("rank"))
+    article = F.when(F.col("article_form") != "", F.array(F.concat(F.lit("art:"), "article_form"))).otherwise(an.strings())
+    articles = F.concat(article, F.transform(cited, lambda n: F.concat(F.lit("cit:"), n)))
+    clause = F.concat(F.lit("cl:"), "clause_form")
+    with_clause = F.concat(F.array(clause), F.transform(articles, lambda a: F.concat(a, F.lit("|"), clause)))
+    return F.array_distinct(F.concat(articles, F.when(F.col("clause_form") != "", with_clause).otherwise(an.strings())))
 
-    # Questions of the same kind share their base ranking: rank it once.
-    kind = ("request_type", "year_hint", "q_year", "historical", "source_priority", "source_preference", "legal_roles",
-            "c_types", "asks_sham", "asks_void")
-    signed = asked.withColumn("sign", F.xxhash64(F.to_json(F.struct(*kind))))
-    signs = signed.groupBy("sign").agg(*[F.first(c).alias(c) for c in kind])
-    current = (state(F.col("q_year"), today_year) != "expired") | F.col("historical")
-    typed = (F.size("c_types") == 0) | F.coalesce(F.array_contains("c_types", F.col("doc_type")), F.lit(False))
-    hint = within_year_hint() | (F.col("request_type") == "citation_lookup")
-    # A profile is scored once for each sign that asks for its document type; the k best
-    # profiles, by score and first id, hold the k best chunks.
-    every = kept.where("key = 'all'").select("chunk_id", *PROFILE, F.xxhash64(F.to_json(F.struct(*PROFILE))).alias("profile"))
-    firsts = every.groupBy("profile", *PROFILE).agg(F.min("chunk_id").alias("first"))
-    kinds_ = firsts.agg(F.collect_set(F.coalesce("doc_type", F.lit(""))).alias("t")).first()["t"]
-    wanted = F.when(F.size("c_types") == 0, an.strings(sorted(kinds_))).otherwise(F.col("c_types"))
-    by_type = signs.withColumn("asked_type", F.explode(F.array_distinct(wanted)))
-    scored_profiles = firsts.join(by_type, F.coalesce("doc_type", F.lit("")) == F.col("asked_type")).where(current & typed & hint)
-    best = top_by(scored_profiles.withColumn("base", base_score()), ["sign"], [F.desc("base"), "first"], k)
-    general = best.select("sign", "profile", "base").join(every.select("profile", "chunk_id"), "profile")
-    general = top_by(general, ["sign"], [F.desc("base"), "chunk_id"], k)
-    free = signed.where(F.size("c_docs") == 0)
-    by_kind = free.select("query_id", "sign").join(general.select("sign", "chunk_id"), "sign").select("query_id", "chunk_id")
-
-    arts = lambda tag: F.transform("c_articles", lambda n: F.concat(F.lit(tag), n))
-    pairs = lambda tag: F.flatten(F.transform("c_articles", lambda n: F.transform(
-        F.col("c_clauses"), lambda c: F.concat(F.lit(tag), n, F.lit("|cl:"), c))))
-    asked_keys = F.concat(
-        arts("art:"), arts("cit:"), F.transform("c_clauses", lambda c: F.concat(F.lit("cl:"), c)), pairs("art:"), pairs("cit:"))
-    by_number = free.select("query_id", F.explode(asked_keys).alias("key")).join(kept, "key").select("query_id", "chunk_id")
-    by_document = asked.select("query_id", F.explode("c_docs").alias("doc_id")).join(profiles.select("doc_id", "chunk_id"), "doc_id").select(
-        "query_id", "chunk_id")
-    hits = field_hits(asked, chunks)
-    found = by_kind.unionByName(by_number).unionByName(by_document).withColumn("field_score", F.lit(None).cast("double"))
-    candidates = found.unionByName(hits).groupBy("query_id", "chunk_id").agg(F.max("field_score").alias("field_score"))
-
-    rows = candidates.join(profiles, "chunk_id").join(asked.drop("raw_query"), "query_id")
+
+def asked_numbers() -> Column:
+    """The same keys for the articles and clauses of a question."""
+    tagged = lambda tag: F.transform("c_articles", lambda n: F.concat(F.lit(tag), n))
+    articles = F.concat(tagged("art:"), tagged("cit:"))
+    clauses = F.transform("c_clauses", lambda c: F.concat(F.lit("cl:"), c))
+    both = F.flatten(F.transform(articles, lambda a: F.transform(clauses, lambda c: F.concat(a, F.lit("|"), c))))
+    return F.array_distinct(F.concat(articles, clauses, both))
+
+
+def face_scores(queries: DataFrame, faces: DataFrame) -> DataFrame:
+    """Weights of needles whose words all stand in one heading of a face (`query_id, face, field_score`).
+
+    Each needle looks only into headings that hold its rarest word, and every distinct
+    heading and needle is compared once, however many chunks and questions share it.
+    """
+    parts = F.concat(*[_field_needles(part, field, weight) for part, field, weight in FIELD_WEIGHTS])
+    asked = queries.select("query_id", F.explode(parts).alias("p")).groupBy("query_id", "p.field", "p.words").agg(F.sum("p.weight").alias("weight"))
+    shown = faces.select("face", F.explode(F.array(*[
+        F.struct(F.lit(f).alias("field"), F.col(f"head_{f}").alias("heading")) for f in HEADS])).alias("h")).select("face", "h.*")
+    headings = shown.select("field", "heading").distinct().withColumn("found", tx.match_tokens("heading"))
+    words = headings.select("field", "heading", "found", F.explode("found").alias("token"))
+    spread_of = words.groupBy("field", "token").agg(F.count("*").alias("df"))
+    needles = asked.select("field", "words").distinct().withColumn("tokens", tx.match_tokens("words"))
+    rarest = needles.select("field", "words", "tokens", F.explode("tokens").alias("token")).join(spread_of, ["field", "token"], "left")
+    rarest = rarest.groupBy("field", "words").agg(
+        F.first("tokens").alias("tokens"), F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token")).alias("r"))
+    rarest = rarest.where(F.col("r.df") > 0).select("field", "words", "tokens", F.col("r.token").alias("token"))
+    met = words.join(rarest, ["field", "token"]).where(F.size(F.array_except("tokens", "found")) == 0)
+    weights = asked.join(met.select("field", "words", "heading"), ["field", "words"]).groupBy("query_id", "field", "heading").agg(
+        F.sum("weight").alias("weight"))
+    return weights.join(shown, ["field", "heading"]).groupBy("query_id", "face").agg(F.sum("weight").alias("field_score"))
+
+
+def _number_bonus() -> tuple[Column, Column]:
+    """Bonus of a face for the numbers of a question, and whether a lookup by number may take it."""
     own = F.coalesce(F.array_contains("c_articles", F.col("article_form")), F.lit(False))
-    named = F.array_contains("citation_words", "dieu") & F.arrays_overlap("citation_words", "c_articles")
+    named = F.coalesce(F.array_contains("citation_words", "dieu") & F.arrays_overlap("citation_words", "c_articles"), F.lit(False))
     clause = F.coalesce(F.array_contains("c_clauses", F.col("clause_form")), F.lit(False))
+    bonus = F.when(own, OWN).when(named, NAMED).otherwise(0.0) + _plus(clause, CLAUSE)
     lookup = F.col("request_type") == "citation_lookup"
-    in_docs = F.coalesce(F.array_contains("c_docs", F.col("doc_id")), F.lit(False))
-    rows = rows.where(
-        current & typed & hint & ((F.size("c_docs") == 0) | in_docs)
-        & ~(lookup & (F.size("c_articles") > 0) & ~own & ~named) & ~(lookup & (F.size("c_clauses") > 0) & ~clause)
-    )
-    score = (
-        base_score() + F.coalesce("field_score", F.lit(0.0)) + _plus(in_docs, 10.0)
-        + F.when(own, 25.0).when(F.coalesce(named, F.lit(False)), 18.0).otherwise(0.0) + _plus(clause, 35.0)
-    )
-    scored = rows.select("query_id", "chunk_id", F.round(score, 6).alias("metadata")).where(F.col("metadata") > 0)
-    return top_by(scored, ["query_id"], [F.desc("metadata"), "chunk_id"], k)
+    fitting = ~(lookup & (F.size("c_articles") > 0) & ~own & ~named) & ~(lookup & (F.size("c_clauses") > 0) & ~clause)
+    return bonus, fitting
+
+
+def profile_scores(signs: DataFrame, known: DataFrame, today_year: Column) -> DataFrame:
+    """Base score of every profile for each sign that may take it (`sign, profile, first, base`)."""
+    firsts = known.groupBy("profile", *PROFILE).agg(F.min("chunk_id").alias("first"))
+    # A sign without types asks for the star that every profile carries beside its type.
+    of = lambda t: F.concat(F.lit("="), t)
+    offered = firsts.withColumn("asked_type", F.explode(F.array(F.lit("*"), of(F.coalesce("doc_type", F.lit(""))))))
+    wanted = F.when(F.size("c_types") == 0, F.array(F.lit("*"))).otherwise(F.transform("c_types", of))
+    current = (state(F.col("q_year"), today_year) != "expired") | F.col("historical")
+    hint = within_year_hint() | (F.col("request_type") == "citation_lookup")
+    pairs = offered.join(signs.withColumn("asked_type", F.explode(F.array_distinct(wanted))), "asked_type").where(current & hint)
+    return pairs.select("sign", "profile", "first", F.round(base_score(), 6).alias("base"))
+
+
+def face_bounds(pairs: DataFrame, floors: DataFrame, peaks: DataFrame) -> DataFrame:
+    """Pairs of question and face that can still reach the k-th best score known (`floor`).
+
+    No chunk of a face scores more than its matches and the best base score of the question.
+    """
+    reach = pairs.join(peaks, "sign").join(floors, "query_id", "left")
+    return reach.where(F.col("floor").isNull() | (F.col("matched") + F.col("peak") >= F.col("floor") - SLACK))
+
+
+def metadata_top(queries: DataFrame, chunks: DataFrame, today_year: Column, k: int = TOP) -> DataFrame:
+    """Best k chunks per question by headings, numbers, kind and validity.
+
+    A score is the base score of a chunk's profile plus what its face matches, so two sorted
+    lists are merged with a bound (threshold algorithm): the k best profiles and the faces of
+    most matches give k known scores, and a face whose matches and the best base score stay
+    below the k-th of them is never opened. Within one profile, or one profile and number, the
+    k smallest ids hold all that can win. Nothing is left out: the result is that of all pairs.
+    """
+    kind = ("request_type", "year_hint", "q_year", "historical", "source_priority", "source_preference", "legal_roles",
+            "c_types", "asks_sham", "asks_void")
+    asked = queries.withColumns({"asks_sham": _asks(SHAM), "asks_void": _asks(VOID)})
+    asked = asked.withColumn("sign", F.md5(F.to_json(F.struct(*kind))))
+    # Questions of the same kind share their base scores.
+    signs = asked.groupBy("sign").agg(*[F.first(c).alias(c) for c in kind])
+    known = materialize(metadata_keys(chunks))
+    scored = materialize(profile_scores(signs, known, today_year))
+    base = scored.select("sign", "profile", "base")
+    numbers = asked.select("query_id", "sign", "request_type", "c_articles", "c_clauses", "c_docs")
+    free = numbers.where(F.size("c_docs") == 0)
+    lookup = F.col("request_type") == "citation_lookup"
+
+    first_of_profile = top_by(known.select("profile", "chunk_id"), ["profile"], ["chunk_id"], k).drop("rank")
+    best = top_by(scored, ["sign"], [F.desc("base"), "first"], k).drop("rank")
+    general = top_by(best.join(first_of_profile, "profile"), ["sign"], [F.desc("base"), "chunk_id"], k)
+    any_number = ~lookup | ((F.size("c_articles") == 0) & (F.size("c_clauses") == 0))
+    by_kind = free.where(any_number).join(general, "sign").select("query_id", "chunk_id", F.col("base").alias("total"))
+
+    key = F.col("key")
+    keyed = top_by(known.select("profile", "chunk_id", F.explode(number_keys()).alias("key")), ["key", "profile"], ["chunk_id"], k).drop("rank")
+    wanted = free.withColumn("key", F.explode(asked_numbers()))
+    wanted = wanted.where(~(lookup & (F.size("c_articles") > 0)) | ~key.startswith("cl:")).where(
+        ~(lookup & (F.size("c_clauses") > 0)) | F.contains(key, F.lit("cl:")))
+    lists = wanted.select("sign", "key").distinct().join(keyed, "key").join(base, ["sign", "profile"])
+    lists = top_by(lists, ["sign", "key"], [F.desc("base"), "chunk_id"], k)
+    worth = F.when(key.startswith("art:"), OWN).when(key.startswith("cit:"), NAMED).otherwise(0.0) + _plus(F.contains(key, F.lit("cl:")), CLAUSE)
+    by_number = wanted.select("query_id", "sign", "key").join(lists, ["sign", "key"]).select(
+        "query_id", "chunk_id", (F.col("base") + worth).alias("total"))
+
+    bonus, fitting = _number_bonus()
+    faces = known.groupBy("face").agg(*[F.first(c).alias(c) for c in (
+        *[f"head_{f}" for f in HEADS], "article_form", "clause_form", "citation_words")])
+    hits = materialize(face_scores(asked, faces))
+    pairs = hits.join(faces.select("face", "article_form", "clause_form", "citation_words"), "face").join(free, "query_id").where(fitting)
+    pairs = materialize(pairs.select("query_id", "sign", "face", (F.col("field_score") + bonus).alias("matched")))
+    members = top_by(known.select("face", "profile", "chunk_id"), ["face", "profile"], ["chunk_id"], k).drop("rank")
+    opened = lambda p: p.join(members, "face").join(base, ["sign", "profile"]).withColumn("total", F.col("base") + F.col("matched"))
+    plain = materialize(by_kind.unionByName(by_number).groupBy("query_id", "chunk_id").agg(F.max("total").alias("total")))
+    seeds = opened(top_by(pairs, ["query_id"], [F.desc("matched"), "face"], k).drop("rank")).select("query_id", "chunk_id", "total")
+    seen = plain.unionByName(seeds).groupBy("query_id", "chunk_id").agg(F.max("total").alias("total"))
+    floors = top_by(seen, ["query_id"], [F.desc("total"), "chunk_id"], k).where(F.col("rank") == k).select("query_id", F.col("total").alias("floor"))
+    left = face_bounds(pairs, floors, scored.groupBy("sign").agg(F.max("base").alias("peak")))
+    by_face = opened(left).where(F.col("floor").isNull() | (F.col("total") >= F.col("floor") - SLACK)).select("query_id", "chunk_id", "total")
+
+    within = numbers.withColumn("doc_id", F.explode("c_docs")).distinct().join(known.select(
+        "doc_id", "chunk_id", "profile", "face", "article_form", "clause_form", "citation_words"), "doc_id").where(fitting)
+    by_document = within.join(base, ["sign", "profile"]).join(hits, ["query_id", "face"], "left").select(
+        "query_id", "chunk_id", (F.col("base") + F.coalesce("field_score", F.lit(0.0)) + bonus + IN_DOCUMENT).alias("total"))
+
+    found = plain.unionByName(by_face).unionByName(by_document).groupBy("query_id", "chunk_id").agg(
+        F.round(F.max("total"), 6).alias("metadata"))
+    return top_by(found.where(F.col("metadata") > 0), ["query_id"], [F.desc("metadata"), "chunk_id"], k)
 
 
 # ---- candidates ---------------------------------------------------------------
