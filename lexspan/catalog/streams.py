@@ -8,7 +8,7 @@ from lexspan.catalog.registry import query, table
 from lexspan.functions import text as tx
 from lexspan.operators import chunking as ck
 from lexspan.session import scratch_dir
-from lexspan.streaming import flows, limits
+from lexspan.streaming import flows, limits, ordered, sketches, tiers
 
 
 #: Files of a micro-batch.
@@ -140,3 +140,80 @@ def sessions(spark, folder):
     messages = source(spark, folder, "events").select("user_id", "ts")
     rows = drain(spark, flows.sessions(messages, "user_id", "6 hours", "1 day")).where("user_id >= 0")
     return rows.select("user_id", F.date_format("started", "yyyy-MM-dd HH:mm:ss").alias("started"), "messages")
+
+
+# ---- processors with timers, tiers, sketches -----------------------------------------
+
+
+@query("streams_bucket_processor", BUCKET_SQL + "select user_id, event_id, allowed, round(tokens, 6) as tokens from b where allowed")
+def bucket_processor(spark, folder):
+    """Requests that pass, with what is left in their bucket; state in a store with timers."""
+    requests = source(spark, folder, "events").select(F.col("user_id").alias("client_id"), F.col("event_id").alias("request_id"), "ts")
+    with ordered.with_state_store(spark):
+        rows = drain(spark, ordered.token_bucket(requests, CAP, RATE, TTL))
+    return rows.where("client_id >= 0 and allowed").select(
+        F.col("client_id").alias("user_id"), F.col("request_id").alias("event_id"), "allowed", F.round("tokens", 6).alias("tokens"))
+
+
+@query("streams_suppression_processor", """
+with recursive e as (select user_id % 50 as key, event_id, epoch_us(ts) / 1e6 as s, row_number() over (partition by user_id % 50 order by ts, event_id) as i from events),
+b as (select key, event_id, i, s as last, true as shown from e where i = 1
+ union all select e.key, e.event_id, e.i, case when e.s - b.last >= 7200 then e.s else b.last end, e.s - b.last >= 7200 from b join e on e.key = b.key and e.i = b.i + 1)
+select key, event_id from b where shown""")
+def suppression_processor(spark, folder):
+    """First warning of a group of users in two hours or more; every user counts."""
+    warnings = source(spark, folder, "events").select((F.col("user_id") % 50).alias("key"), F.col("event_id").alias("request_id"), "ts")
+    with ordered.with_state_store(spark):
+        rows = drain(spark, ordered.suppress_repeats(warnings, 7200.0))
+    return rows.where("key >= 0").select("key", F.col("request_id").alias("event_id"))
+
+
+@query("streams_tiered_ingest", """
+with w as (select doc_id, unnest(generate_series(1, len(p))) as part_no, p from (select doc_id, string_split(text, chr(10)) as p from documents where text is not null))
+select doc_id, part_no, md5(p[part_no]) as digest from w""")
+def tiered_ingest(spark, folder):
+    """Lines of every document through many micro-batches and merges; a second stream brings all of them again."""
+    root = f"{scratch_dir(spark)}/lexspan-tiers-{uuid.uuid4().hex}"
+
+    def build(batch):
+        return batch.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "part")).select("doc_id", F.col("at") + 1, "part").toDF("doc_id", "part_no", "part")
+
+    for run in range(2):
+        tiers.tiered_ingest(source(spark, folder, "documents"), build, f"{root}/chunks", f"{root}/state{run}", fanout=3).awaitTermination()
+    return tiers.latest(spark, f"{root}/chunks").select("doc_id", F.col("part_no").cast("long").alias("part_no"), F.md5("part").alias("digest"))
+
+
+POINTS = {"p50": 0.5, "p95": 0.95}
+GROWTH = "(1.01::double / 0.99::double)"
+
+
+def sketch_sql(width):
+    return f"""
+with v as (select strftime(time_bucket(interval '{width}', ts, timestamp '1970-01-01'), '%Y-%m-%d %H:%M') as window_start, event_type as path, value as x from events where isfinite(value)),
+s as (select window_start, path, case when abs(x) < 1e-12 then 0 else sign(x) end as side,
+  case when abs(x) < 1e-12 then 0 else cast(ceil(round(ln(abs(x)) / ln({GROWTH}), 9)) as int) end as bin, count(*) as n from v group by all),
+r as (select *, sum(n) over (partition by window_start, path order by side, side * bin) as upto, sum(n) over (partition by window_start, path) as total,
+  side * 2 * pow({GROWTH}, bin) / ({GROWTH} + 1) as middle from s)
+select window_start, path, cast(max(total) as bigint) as n, round(min(middle) filter (upto > floor(0.5 * (total - 1))), 6) as p50,
+ round(min(middle) filter (upto > floor(0.95 * (total - 1))), 6) as p95 from r group by 1, 2"""
+
+
+def _percentiles(found):
+    return found.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "path", "n", *[F.round(p, 6).alias(p) for p in POINTS])
+
+
+def _sketches(spark, folder):
+    return drain(spark, sketches.window_sketches(requests_of(spark, folder), "seconds", "6 hours")).where(F.col("path") != END)
+
+
+@query("streams_window_percentiles", sketch_sql("6 hours"))
+def window_percentiles(spark, folder):
+    return _percentiles(sketches.quantiles(_sketches(spark, folder), ["window_start", "path"], POINTS))
+
+
+@query("streams_merged_percentiles", sketch_sql("24 hours"))
+def merged_percentiles(spark, folder):
+    """Sketches of six hours added up to days; no value is read again."""
+    keys = ["window_start", "path"]
+    days = _sketches(spark, folder).withColumn("window_start", F.date_trunc("day", "window_start"))
+    return _percentiles(sketches.quantiles(sketches.merged(days, keys), keys, POINTS))
