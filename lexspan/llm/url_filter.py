@@ -59,9 +59,18 @@ def patterns_of(url: Column) -> Column:
 
 
 def intervals(entries: DataFrame) -> DataFrame:
-    """pattern, action, valid_from, valid_to (null: for good) of pattern, action, listed_at."""
-    order = Window.partitionBy("pattern").orderBy("valid_from")
-    return _settled(entries).withColumn("valid_to", F.lead("valid_from").over(order)).select("pattern", F.element_at(F.array(*[F.lit(a) for a in ACTIONS]), F.col("say") + 1).alias("action"), "valid_from", "valid_to")
+    """pattern, action, say, valid_from, valid_to (null: for good) of pattern, action, listed_at.
+
+    An entry ends where the next of its pattern begins: in its own hour, else the first of the
+    pattern's next hour that has one, so a window over a pattern holds a row for each hour.
+    """
+    settled = _settled(entries).withColumn("hour", F.floor(F.col("valid_from") / SPAN))
+    hours = settled.groupBy("pattern", "hour").agg(F.min("valid_from").alias("opens"))
+    ends = hours.select("pattern", "hour", F.lead("opens").over(Window.partitionBy("pattern").orderBy("hour")).alias("later"))
+    inside = settled.withColumn("next", F.lead("valid_from").over(Window.partitionBy("pattern", "hour").orderBy("valid_from")))
+    action = F.element_at(F.array(*[F.lit(a) for a in ACTIONS]), F.col("say") + 1)
+    return inside.join(ends, ["pattern", "hour"]).select(
+        "pattern", action.alias("action"), "say", "valid_from", F.coalesce("next", "later").alias("valid_to"))
 
 
 def _settled(entries: DataFrame) -> DataFrame:
@@ -71,27 +80,34 @@ def _settled(entries: DataFrame) -> DataFrame:
     return known.select("pattern", F.unix_timestamp("listed_at").alias("valid_from"), say.alias("say")).groupBy("pattern", "valid_from").agg(F.max("say").alias("say"))
 
 
-def as_of(probes: DataFrame, settled: DataFrame) -> DataFrame:
-    """say, valid_from of the entry of `pattern` that is active at `at`, for distinct probes."""
+def as_of(probes: DataFrame, spans: DataFrame) -> DataFrame:
+    """say, valid_from of the interval of `pattern` that holds `at`, for distinct probes.
+
+    The intervals of one pattern do not overlap, so only the last that began can hold a time.
+    """
     hour = lambda c: F.floor(F.col(c) / SPAN).alias("hour")
-    both = settled.select("pattern", hour("valid_from"), F.col("valid_from").alias("at"), F.lit(False).alias("asks"), F.struct("valid_from", "say").alias("entry")).unionByName(
-        probes.select("pattern", hour("at"), "at", F.lit(True).alias("asks"), F.lit(None).cast("struct<valid_from:bigint,say:int>").alias("entry"))
+    span = F.struct("valid_from", "say", "valid_to")
+    both = spans.select("pattern", hour("valid_from"), F.col("valid_from").alias("at"), F.lit(False).alias("asks"), span.alias("span")).unionByName(
+        probes.select("pattern", hour("at"), "at", F.lit(True).alias("asks"), F.lit(None).cast("struct<valid_from:bigint,say:int,valid_to:bigint>").alias("span"))
     )
-    # The last entry before each hour of a pattern: one row an hour.
-    hours = both.groupBy("pattern", "hour").agg(F.max("entry").alias("last"))
+    # The last interval that began before each hour of a pattern: one row an hour.
+    hours = both.groupBy("pattern", "hour").agg(F.max("span").alias("last"))
     earlier = Window.partitionBy("pattern").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
     carried = hours.select(F.col("pattern").alias("pattern_"), F.col("hour").alias("hour_"), F.last("last", ignorenulls=True).over(earlier).alias("carried"))
     upto = Window.partitionBy("pattern", "hour").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = both.withColumn("within", F.last("entry", ignorenulls=True).over(upto)).where("asks")
+    inside = both.withColumn("within", F.last("span", ignorenulls=True).over(upto)).where("asks")
     found = inside.join(carried, (F.col("pattern") == F.col("pattern_")) & (F.col("hour") == F.col("hour_")))
-    return found.select("pattern", "at", F.coalesce("within", "carried").alias("entry")).where("entry is not null").select("pattern", "at", "entry.valid_from", "entry.say")
+    holds = F.col("span").isNotNull() & (F.col("span.valid_to").isNull() | (F.col("at") < F.col("span.valid_to")))
+    return found.select("pattern", "at", F.coalesce("within", "carried").alias("span")).where(holds).select("pattern", "at", "span.valid_from", "span.say")
 
 
 def judge(captures: DataFrame, entries: DataFrame, url: str = "url", fetched_at: str = "fetched_at") -> DataFrame:
     """Add host, action (block, allow or none), pattern and listed_at of the entry that decides."""
     asked = captures.select(F.col(url).alias("url_"), F.unix_timestamp(fetched_at).alias("at")).where("url_ is not null and at is not null").distinct()
     could = stored(asked.select("url_", "at", F.inline(patterns_of(F.col("url_")))), "patterns")
-    active = as_of(could.select("pattern", "at").distinct(), _settled(entries)).where(F.col("say") > 0)
+    # What was removed is a gap between intervals.
+    spans = stored(intervals(entries).where(F.col("say") > 0).drop("action"), "intervals")
+    active = as_of(could.select("pattern", "at").distinct(), spans)
     best = could.join(active, ["pattern", "at"]).groupBy("url_", "at").agg(F.max(F.struct("weight", "pattern", "say", "valid_from")).alias("best"))
     # Stored, so that the join below shuffles both sides and can split a capture that is often repeated.
     verdicts = stored(best.select("url_", F.col("at").alias("at_"), "best"), "verdicts")
