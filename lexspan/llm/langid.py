@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexspan.llm.scratch import stored
+from lexspan.llm.scratch import fresh, stored
 
 UNDETERMINED = "und"
 #: Labelled texts of one language that are counted, about; a hash of the id picks them.
@@ -52,13 +52,19 @@ def gram_hashes(text: str) -> Iterator[np.ndarray]:
     """64-bit hashes of the n-grams of a text, letters in lower case, all else as one mark."""
     if not _ALPHA:
         _ALPHA.append(_letters())
-    step = max(SIZES) - 1
+    tail = np.zeros(0, dtype=np.uint64)
     for at in range(0, max(len(text), 1), PIECE):
-        piece = text[max(0, at - step) : at + PIECE].lower()
-        codes = np.frombuffer(f" {piece} ".encode("utf-32-le", "replace"), dtype="<u4").astype(np.uint64)
+        # A mark before the first letter and behind the last; what the last piece ended with goes before this one.
+        piece = " " * (at == 0) + text[at : at + PIECE].lower() + " " * (at + PIECE >= len(text))
+        codes = np.concatenate([tail, np.frombuffer(piece.encode("utf-32-le", "replace"), dtype="<u4").astype(np.uint64)])
         inside = _ALPHA[0][codes.astype(np.int64)]
         codes[~inside] = 0
+        before, all_codes, all_inside = len(tail), codes, inside
+        tail = codes[-(max(SIZES) - 1) :]
         for size in SIZES:
+            # Only n-grams that end in this piece.
+            start = max(0, before - size + 1)
+            codes, inside = all_codes[start:], all_inside[start:]
             count = len(codes) - size + 1
             if count <= 0:
                 continue
@@ -104,6 +110,10 @@ class Filters:
         return (np.array(full, dtype=np.float64) / self.slots.shape[1]) ** HASHES
 
     def judge(self, text: str | None, chance: np.ndarray) -> tuple[str, float]:
+        return self.weigh(text, chance)[:2]
+
+    def weigh(self, text: str | None, chance: np.ndarray) -> tuple[str, float, float, float]:
+        """Language, its share of all hits, its hits per n-gram, and its lead over the second (0 to 1)."""
         hits, count = np.zeros(len(self.languages), dtype=np.int64), 0
         for hashes in gram_hashes(text or ""):
             count += len(hashes)
@@ -115,10 +125,13 @@ class Filters:
                 for i in range(word * 64, min(len(self.languages), word * 64 + 64)):
                     hits[i] += np.count_nonzero(found & np.uint64(1 << i % 64))
         if not count or not self.languages:
-            return UNDETERMINED, 0.0
+            return UNDETERMINED, 0.0, 0.0, 0.0
         own = np.maximum(hits - count * chance, 0) / (1 - np.minimum(chance, 0.999))
         best = int(np.argmax(own))
-        return self.languages[best], float(own[best] / own.sum()) if own[best] > 0 else 0.0
+        if own[best] <= 0:
+            return self.languages[best], 0.0, 0.0, 0.0
+        second = max(np.delete(own, best), default=0.0)
+        return self.languages[best], float(own[best] / own.sum()), float(min(own[best] / count, 1.0)), float((own[best] - second) / own[best])
 
 
 def train(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Filters:
@@ -157,16 +170,26 @@ def train(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     return Filters.build({language: np.array(values, dtype=np.int64).view(np.uint64) for language, values in grams.items()})
 
 
-def predict(df: DataFrame, filters: Filters, text: str = "text", out: str = "lang_pred", score: str = "score") -> DataFrame:
-    """Add the language of each whole text and its score; nothing but the text is read."""
+def predict(df: DataFrame, filters: Filters, text: str = "text", out: str = "lang_pred", score: str = "score",
+            rate: str | None = None, lead: str | None = None) -> DataFrame:
+    """Add the language of each whole text and its score; nothing but the text is read.
+
+    On request also its hits per n-gram, corrected for chance (`rate`), and by what part of
+    them the second language has less (`lead`); neither hangs on the number of languages.
+    """
     shared = df.sparkSession.sparkContext.broadcast(filters)  # half a MB for each 64 languages
 
-    @F.arrow_udf("struct<lang: string, score: double>")
+    @F.arrow_udf("struct<lang: string, score: double, rate: double, lead: double>")
     def judged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = shared.value
         chance = known.chance()
         for texts in batches:
-            found = [known.judge(one.as_py(), chance) for one in texts]
-            yield pa.StructArray.from_arrays([pa.array([a for a, _ in found], pa.string()), pa.array([b for _, b in found], pa.float64())], names=["lang", "score"])
-
-    return df.withColumn("_judged", judged(F.col(text))).withColumns({out: F.col("_judged.lang"), score: F.col("_judged.score")}).drop("_judged")
+            found = [known.weigh(one.as_py(), chance) for one in texts]
+            kinds = (pa.string(), pa.float64(), pa.float64(), pa.float64())
+            columns = [pa.array([row[i] for row in found], kind) for i, kind in enumerate(kinds)]
+            yield pa.StructArray.from_arrays(columns, names=["lang", "score", "rate", "lead"])
+
+    told = fresh("judged")
+    wanted = {out: "lang", score: "score", rate: "rate", lead: "lead"}
+    return df.withColumn(told, judged(F.col(text))).withColumns(
+        {name: F.col(f"{told}.{part}") for name, part in wanted.items() if name}).drop(told)
