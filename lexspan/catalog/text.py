@@ -15,7 +15,9 @@ PLANT_2_TO = "khoản 3 "
 
 
 def planted(text):
-    return F.regexp_replace(F.regexp_replace(text, PLANT, PLANT_TO), PLANT_2, PLANT_2_TO)
+    """As the SQL plants them: there a border is one of ASCII words, so "mü" ends before the "de" of "müde "."""
+    ascii_border = lambda pattern: pattern.replace(r"\b", "(?<![0-9A-Za-z_])", 1)
+    return F.regexp_replace(F.regexp_replace(text, ascii_border(PLANT), PLANT_TO), ascii_border(PLANT_2), PLANT_2_TO)
 
 
 PLANTED_SQL = (
