@@ -55,7 +55,7 @@ def json_artifacts(spark, folder):
     path = _folder(spark)
     docs = table(spark, folder, "documents")
     record = F.to_json(F.struct(F.when(F.col("doc_id") % 4 != 0, F.col("doc_id").cast("string")).alias("chunk_id"), "text"))
-    docs.select(F.when(F.col("doc_id") % 9 == 0, F.substring(record, 1, 30)).otherwise(record).alias("value")).write.text(path)
+    docs.select(F.when(F.col("doc_id") % 9 == 0, F.substring(record, F.lit(1), F.least(F.lit(30), F.length(record) - 1))).otherwise(record).alias("value")).write.text(path)
     rows = tb.read_json_lists(spark, path, "chunk_id string, text string", lists=False)
     bad = tb.invalid_records(rows).groupBy("reason").agg(F.count("*").alias("n"))
     good = rows.where(F.col(tb.CORRUPT).isNull() & F.col("chunk_id").isNotNull()).agg(F.count("*").alias("n"))
