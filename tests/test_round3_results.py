@@ -14,3 +14,13 @@ def test_short_records_are_cut_too(spark, tmp_path):
                           "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     found = {r["reason"]: r["n"] for r in sources.json_artifacts(spark, str(tmp_path)).collect()}
     assert found == {"unreadable": 3, "missing chunk_id": 1, "usable": 1}
+
+
+def test_documents_of_a_name_are_listed_once_for_each_set_of_names(spark):
+    from lexspan.operators import analysis as an
+
+    texts = spark.createDataFrame([("a", "see x and y"), ("b", "see x and y"), ("a", "only z"), ("c", "none")], "k string, text string")
+    terms = spark.createDataFrame([(f"d{i}", "x") for i in range(3)] + [("e", "y"), ("f", "z")], "doc_id string, term string")
+    out = an.resolve_documents(texts, terms, "k")
+    assert {r["k"]: r["doc_ids"] for r in out.collect()} == {"a": ["d0", "d1", "d2", "e", "f"], "b": ["d0", "d1", "d2", "e"]}
+    assert "explode(names" in out._jdf.queryExecution().optimizedPlan().toString()
