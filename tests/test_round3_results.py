@@ -24,3 +24,13 @@ def test_documents_of_a_name_are_listed_once_for_each_set_of_names(spark):
     out = an.resolve_documents(texts, terms, "k")
     assert {r["k"]: r["doc_ids"] for r in out.collect()} == {"a": ["d0", "d1", "d2", "e", "f"], "b": ["d0", "d1", "d2", "e"]}
     assert "explode(names" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_candidates_are_ranked_without_texts(spark):
+    from lexspan.catalog import ranking as rq
+
+    folder = "/root/testdata/sf0.001"
+    slim = rq.ranked(spark, folder, text=False)
+    assert "text" not in slim.columns
+    whole = rq.ranked(spark, folder)
+    assert "text" in whole.columns and whole.count() == rq.candidates(spark, folder).count()
