@@ -240,6 +240,8 @@ select doc_id, 'Án lệ số ' || doc_id || '/2021/AL' as citation, 'hop_dong'
   'hợp đồng|' || source as keywords from d where flat <> ''""")
 def precedents(spark, folder):
     rows = st.parse_precedents(precedent_texts(spark, folder)).where(F.col("facts") != "")
-    meta = md.precedent_metadata(rows).join(md.keyword_metadata(rows), "doc_id")
+    # In one pass over the parsed texts.
+    worded = md.keyword_metadata(rows, tuple(c for c in rows.columns if c not in ("doc_id", "keywords")))
+    meta = md.precedent_metadata(worded, ("keywords",))
     return meta.select("doc_id", "citation", F.array_join("legal_domain_tags", "|").alias("tags"),
                        F.md5("case_law_schema.facts_summary").alias("facts_digest"), F.array_join("keywords", "|").alias("keywords"))

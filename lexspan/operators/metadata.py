@@ -212,8 +212,8 @@ def nodes(docs: DataFrame, outlined: DataFrame, unit_rows: DataFrame) -> DataFra
     ])
 
 
-def keyword_metadata(precedents: DataFrame) -> DataFrame:
-    return precedents.where(F.size("keywords") > 0).select("doc_id", "keywords")
+def keyword_metadata(precedents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    return precedents.where(F.size("keywords") > 0).select("doc_id", "keywords", *keep)
 
 
 def _references_of(text: Column) -> Column:
@@ -377,8 +377,8 @@ def override_validity(df: DataFrame, prefix: str = "src_") -> DataFrame:
     })
 
 
-def precedent_metadata(precedents: DataFrame) -> DataFrame:
-    """Citation, tags and the facts/issue/holding/reasoning summary of precedents."""
+def precedent_metadata(precedents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Citation, tags and the facts/issue/holding/reasoning summary of precedents; `keep`: columns carried along."""
     joined = F.concat_ws(" ", "title", "issue", "holding", F.array_join("keywords", " "))
     return precedents.select(
         "doc_id",
@@ -400,4 +400,5 @@ def precedent_metadata(precedents: DataFrame) -> DataFrame:
             tx.truncate(F.col("facts"), 400).alias("facts_summary"), F.col("issue").alias("legal_issue"),
             F.col("holding"), tx.truncate(F.col("reasoning"), 400).alias("reasoning_excerpt"),
         ).alias("case_law_schema"),
+        *keep,
     )
