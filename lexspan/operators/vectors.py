@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 
 EMBED_BATCH = 32
-QUERY_BLOCK, CHUNK_BLOCK = 1024, 20_000
+QUERY_BLOCK, CHUNK_BLOCK = 8192, 32_768
+#: Queries and chunks whose products exist at a time, and room for single precision, for each dimension.
+ROWS, STRIP, SINGLE_ROOM = 512, 8192, 2e-7
 EXPIRED_STATUS = "het_hieu_luc"
 
 
@@ -90,6 +92,59 @@ def query_text(variants: Column, fallback: Column) -> Column:
     return F.when(F.size(variants) > 0, F.array_join(variants, " ; ")).otherwise(fallback)
 
 
+def _best_of(scores: np.ndarray, items: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k greatest finite scores, of equal ones those of smaller items."""
+    places = np.flatnonzero(np.isfinite(scores))
+    if len(places) > k:
+        some = scores[places]
+        places = places[some >= np.partition(some, len(some) - k)[len(some) - k]]
+    places = places[np.argsort(items[places], kind="stable")]
+    return places[np.argsort(-scores[places], kind="stable")][:k]
+
+
+def block_top_k(a: np.ndarray, skip: np.ndarray, b: np.ndarray, items: np.ndarray, expired: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row of `a`, place in `b` and score of each query's k best; `items` ascend.
+
+    Products in single precision bound the scores of a strip; what may reach the k-th
+    best so far is scored in double precision.
+    """
+    long_a, long_b = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
+    unit = lambda x, n: np.divide(x, n[:, None], out=np.zeros_like(x), where=n[:, None] > 0).astype(np.float32)
+    near_a, near_b = unit(a, long_a), unit(b, long_b)
+    strange = not (np.isfinite(near_a).all() and np.isfinite(near_b).all())
+    room = np.float32(SINGLE_ROOM * (a.shape[1] + 8))
+    kept = [(np.empty(0, np.int64), np.empty(0))] * len(a)
+    limit = np.full(len(a), -np.inf, dtype=np.float32)
+    for first in range(0, len(a), ROWS):
+        rows = np.arange(first, min(first + ROWS, len(a)))
+        for at in range(0, len(b), STRIP):
+            strip = slice(at, at + STRIP)
+            rough = near_a[rows] @ near_b[strip].T
+            hidden = np.flatnonzero(expired[strip])
+            rough[np.ix_(skip[rows], np.isin(np.arange(rough.shape[1]), hidden))] = -np.inf
+            least = limit[rows]
+            if at == 0 and rough.shape[1] > k:
+                # Nothing is known yet, but k of this strip are as good as its k-th.
+                least = np.partition(rough, rough.shape[1] - k, axis=1)[:, rough.shape[1] - k] - room
+            may = (rough >= (least - room)[:, None]) & (rough > -np.inf) if not strange else rough != -np.inf
+            counts = may.sum(axis=1)
+            # Rows of many candidates, such as copies, by one product.
+            dense = np.flatnonzero(counts > rough.shape[1] // 16)
+            whole = dict(zip(dense, a[rows[dense]] @ b[strip].T)) if len(dense) else {}
+            for i in np.flatnonzero(counts):
+                row, places = rows[i], np.flatnonzero(may[i])
+                products = whole[i][places] if i in whole else b[strip][places] @ a[row]
+                lengths = long_b[strip][places] * long_a[row]
+                scores = np.round(np.divide(products, lengths, out=np.zeros_like(lengths), where=lengths > 0), 9)
+                places, scores = np.concatenate([kept[row][0], places + at]), np.concatenate([kept[row][1], scores])
+                top = _best_of(scores, items[places], k)
+                kept[row] = (places[top], scores[top])
+                if len(top) == k:
+                    limit[row] = scores[top[-1]]
+    sizes = [len(places) for places, _ in kept]
+    return np.repeat(np.arange(len(a)), sizes), np.concatenate([p for p, _ in kept]), np.concatenate([s for _, s in kept])
+
+
 def cosine_top_k(queries: DataFrame, chunks: DataFrame, k: int, id_column: str = "chunk_id") -> DataFrame:
     """Exact cosine top-k: `query_id, <id>, score, rank`.
 
@@ -99,14 +154,16 @@ def cosine_top_k(queries: DataFrame, chunks: DataFrame, k: int, id_column: str =
     query, so neither all pairs nor an unbounded group ever exists. Vectors of
     another length than the query's never match.
     """
-    q_blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
+    asked, cores = queries.count(), queries.sparkSession.sparkContext.defaultParallelism
+    # Large blocks, as each is sent all chunks; smaller ones while there are fewer blocks than cores.
+    q_blocks = max(1, math.ceil(asked / QUERY_BLOCK), min(cores, math.ceil(asked / max(1, QUERY_BLOCK // 8))))
     c_blocks = max(1, math.ceil(chunks.count() / CHUNK_BLOCK))
     skip = F.col("skip_expired") if "skip_expired" in queries.columns else F.lit(False)
     status = F.col("validity_status") if "validity_status" in chunks.columns else F.lit("")
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = queries.where(F.size("vector") > 0).select(
-        "query_id", "vector", skip.alias("skip"), block("query_id", q_blocks).alias("qb"), every(c_blocks).alias("cb")
+        "query_id", "vector", F.coalesce(skip, F.lit(False)).alias("skip"), block("query_id", q_blocks).alias("qb"), every(c_blocks).alias("cb")
     )
     right = chunks.where(F.size("embedding") > 0).select(
         F.col(id_column).alias("item"), "embedding", (F.coalesce(status, F.lit("")) == EXPIRED_STATUS).alias("expired"),
@@ -125,24 +182,11 @@ def cosine_top_k(queries: DataFrame, chunks: DataFrame, k: int, id_column: str =
             same = cs[size == width].sort_values("item")
             if same.empty:
                 continue
-            a = np.array(group["vector"].tolist(), dtype=np.float64)
-            b = np.array(same["embedding"].tolist(), dtype=np.float64)
-            norms = np.outer(np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1))
-            scores = np.divide(a @ b.T, norms, out=np.zeros_like(norms), where=norms > 0)
-            scores = np.round(scores, 9)
-            scores[np.ix_(group["skip"].to_numpy(bool), same["expired"].to_numpy(bool))] = -np.inf
-            # Stable order by score, then id (rows are sorted by id).
-            order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-            picked = np.take_along_axis(scores, order, axis=1)
-            items = same["item"].to_numpy()
-            found.append(pd.DataFrame({
-                "query_id": np.repeat(group["query_id"].to_numpy(), order.shape[1]),
-                "item": items[order].ravel(), "score": picked.ravel(),
-            }))
-        if not found:
-            return empty
-        out = pd.concat(found)
-        return out[np.isfinite(out["score"])]
+            a = np.stack(group["vector"].to_list()).astype(np.float64)
+            b = np.stack(same["embedding"].to_list()).astype(np.float64)
+            row, place, scores = block_top_k(a, group["skip"].to_numpy(bool), b, same["item"].to_numpy(), same["expired"].to_numpy(bool), k)
+            found.append(pd.DataFrame({"query_id": group["query_id"].to_numpy()[row], "item": same["item"].to_numpy()[place], "score": scores}))
+        return pd.concat(found) if found else empty
 
     blocks = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(
         best, f"query_id {query_type}, item {id_type}, score double"
