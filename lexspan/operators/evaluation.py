@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexspan.functions import citations as ct
 from lexspan.functions import text as tx
 from lexspan.operators.metadata import has_any
+from lexspan.session import fits, materialize
 
 # ---- fixed values ---------------------------------------------------------
 ABSTAIN_MARKERS = (
@@ -71,6 +72,8 @@ NEGATIVE = (
 MISSING_SEEDS, TEMPORAL_SEEDS, SET_MIN, SET_MAX = 15, 8, 200, 500
 ERROR_ORDER = ("wrong_article", "missing_related_document", "wrong_document")
 EXACT_BELOW, BAND = 10_000, 5e-4
+#: Groups whose brackets may be sent to all tasks.
+FEW_GROUPS = 10_000
 # ---------------------------------------------------------------------------
 
 
@@ -213,7 +216,9 @@ def exact_percentiles(values: DataFrame, keys: list[str], column: str, points: d
             "_lo": F.when(F.col("_n") <= EXACT_BELOW, F.col("_min")).otherwise(F.get("_b", 0)),
             "_hi": F.when(F.col("_n") <= EXACT_BELOW, F.col("_max")).otherwise(F.get("_b", 1)),
         })
-        joined = values.where(v.isNotNull()).join(stats, keys)
+        # A shuffle by group would send a large group to one task.
+        stats = materialize(stats)
+        joined = values.where(v.isNotNull()).join(F.broadcast(stats) if fits(stats, FEW_GROUPS) else stats, keys)
         below = joined.where(v < F.col("_lo")).groupBy(*keys).agg(F.count("*").alias("_below"))
         inside = joined.where((v >= F.col("_lo")) & (v <= F.col("_hi"))).groupBy(*keys, v.alias("_v")).agg(
             F.count("*").alias("_c"), F.first("_n").alias("_n"))
