@@ -102,11 +102,12 @@ def _best_of(scores: np.ndarray, items: np.ndarray, k: int) -> np.ndarray:
     return places[np.argsort(-scores[places], kind="stable")][:k]
 
 
-def block_top_k(a: np.ndarray, skip: np.ndarray, b: np.ndarray, items: np.ndarray, expired: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def block_top_k(a: np.ndarray, skip: np.ndarray, b: np.ndarray, items: np.ndarray, expired: np.ndarray, k: int, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row of `a`, place in `b` and score of each query's k best; `items` ascend.
 
     Products in single precision bound the scores of a strip; what may reach the k-th
-    best so far is scored in double precision.
+    best so far is scored in double precision. `known`: scores that k others reach already,
+    so that what stays below may be left out.
     """
     long_a, long_b = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
     unit = lambda x, n: np.divide(x, n[:, None], out=np.zeros_like(x), where=n[:, None] > 0).astype(np.float32)
@@ -114,7 +115,7 @@ def block_top_k(a: np.ndarray, skip: np.ndarray, b: np.ndarray, items: np.ndarra
     strange = not (np.isfinite(near_a).all() and np.isfinite(near_b).all())
     room = np.float32(SINGLE_ROOM * (a.shape[1] + 8))
     kept = [(np.empty(0, np.int64), np.empty(0))] * len(a)
-    limit = np.full(len(a), -np.inf, dtype=np.float32)
+    limit = np.full(len(a), -np.inf, dtype=np.float32) if known is None else known.astype(np.float32)
     for first in range(0, len(a), ROWS):
         rows = np.arange(first, min(first + ROWS, len(a)))
         for at in range(0, len(b), STRIP):
@@ -123,9 +124,9 @@ def block_top_k(a: np.ndarray, skip: np.ndarray, b: np.ndarray, items: np.ndarra
             hidden = np.flatnonzero(expired[strip])
             rough[np.ix_(skip[rows], np.isin(np.arange(rough.shape[1]), hidden))] = -np.inf
             least = limit[rows]
-            if at == 0 and rough.shape[1] > k:
+            if at == 0 and rough.shape[1] > k and (least < -1).any():
                 # Nothing is known yet, but k of this strip are as good as its k-th.
-                least = np.partition(rough, rough.shape[1] - k, axis=1)[:, rough.shape[1] - k] - room
+                least = np.maximum(least, np.partition(rough, rough.shape[1] - k, axis=1)[:, rough.shape[1] - k] - room)
             may = (rough >= (least - room)[:, None]) & (rough > -np.inf) if not strange else rough != -np.inf
             counts = may.sum(axis=1)
             # Rows of many candidates, such as copies, by one product.
@@ -140,7 +141,7 @@ def block_top_k(a: np.ndarray, skip: np.ndarray, b: np.ndarray, items: np.ndarra
                 top = _best_of(scores, items[places], k)
                 kept[row] = (places[top], scores[top])
                 if len(top) == k:
-                    limit[row] = scores[top[-1]]
+                    limit[row] = max(limit[row], scores[top[-1]])
     sizes = [len(places) for places, _ in kept]
     return np.repeat(np.arange(len(a)), sizes), np.concatenate([p for p, _ in kept]), np.concatenate([s for _, s in kept])
 
