@@ -1,10 +1,13 @@
 """Near copies by the exact Jaccard similarity of word shingles.
 
 A text is the set of its runs of WORDS words, as 64-bit hashes; a shorter text is one
-run. Texts of the same set are one here. MinHash proposes pairs: BANDS keys of ROWS
-minima each, and sets that share a key are compared exactly. A pair at the least
-similarity of 0.8 shares none of 72 keys of 8 minima with a chance of (1 - 0.8^8)^72,
-that is 2 in a million; a more similar pair with less.
+run. Texts of the same set are one here. The fingerprints of `simhash_dedup`, of runs of
+WORDS words, propose pairs first: sets of one fingerprint are compared with the least of
+them, and the least ones of linked fingerprints with each other. Similar texts may
+differ in more bits than the radius, so MinHash proposes what fingerprints miss: BANDS
+keys of ROWS minima each, and sets that share a key are compared exactly. A pair at the
+least similarity of 0.8 shares none of 72 keys of 8 minima with a chance of
+(1 - 0.8^8)^72, that is 2 in a million; a more similar pair with less.
 
 Groups are the connected components of the pairs that are similar enough. A key shared
 by n sets does not need n^2 comparisons for that:
@@ -41,18 +44,21 @@ from pyspark.sql.types import ArrayType, LongType
 
 from lexspan.llm.graph import components
 from lexspan.llm.scratch import fresh, stored
-from lexspan.llm.simhash_dedup import shingle_hashes
+from lexspan.llm.simhash_dedup import links as fingerprint_links
+from lexspan.llm.simhash_dedup import shingle_hashes, voted
 
 WORDS = 5
 #: Least similarity of near copies, as a fraction.
 LEAST = (4, 5)
 BANDS, ROWS = 72, 8
+#: Bits in which linked fingerprints may differ.
+RADIUS = 3
 #: Runs hashed at a time, so that a block of minima stays in the processor's cache.
 AT_ONCE = 1 << 9
 #: Rounds of pivots, and cells of the frequency table (8 MB).
 ROUNDS = 3
 CELLS = 1 << 20
-SKETCH = "struct<name:string,size:bigint,keys:array<bigint>>"
+SKETCH = "struct<name:string,size:bigint,fp:bigint,keys:array<bigint>>"
 _DRAW = np.random.default_rng(42)
 _TIMES = _DRAW.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _FLIP = _DRAW.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -76,7 +82,7 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketches(df: DataFrame, text: str = "text", out: str = "sketch", words: int = WORDS) -> DataFrame:
-    """Add `out`: the name and the size of a text's set, and its band keys."""
+    """Add `out`: the name and the size of a text's set, its fingerprint and its band keys."""
     import xxhash
 
     digest = xxhash.xxh3_128_hexdigest
@@ -84,14 +90,16 @@ def sketches(df: DataFrame, text: str = "text", out: str = "sketch", words: int
     @F.arrow_udf(SKETCH)
     def sketch_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            names, sizes, keys = [], [], [np.empty(0, dtype=np.int64)]
+            names, sizes, fps, keys = [], [], [], [np.empty(0, dtype=np.int64)]
             for one in texts.cast(pa.binary()):
-                hashes = shingle_set(one.as_py() or b"", words)
+                every = shingle_hashes(one.as_py() or b"", words)
+                hashes = np.unique(every)
+                fps.append(voted(every))
                 names.append(digest(hashes.tobytes(), 42))
                 sizes.append(len(hashes))
                 keys.append(band_keys(hashes).view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(names) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate(keys)))
-            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64()), lists], names=["name", "size", "keys"])
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64()), pa.array(fps, pa.int64()), lists], names=["name", "size", "fp", "keys"])
 
     return df.withColumn(out, sketch_of(F.col(text)))
 
@@ -125,6 +133,20 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(shared * under >= (size_a + size_b - shared) * over).select("a", "b")
 
 
+def fingerprint_pairs(named: DataFrame) -> DataFrame:
+    """Pairs a < b of names that fingerprints propose, from a table of name and sketch."""
+    tags = stored(named.select("name", F.col("sketch")["size"].alias("size"), F.col("sketch")["fp"].alias("fp")).distinct(), "tags")
+    heads = stored(tags.groupBy("fp").agg(F.min("name").alias("head"), F.min_by("size", "name").alias("head_size")), "heads")
+
+    def of(end: str) -> DataFrame:
+        return heads.select(F.col("fp").alias(f"fp_{end}"), F.col("head").alias(f"head_{end}"), F.col("head_size").alias(f"size_{end}"))
+
+    stars = tags.join(of("a"), F.col("fp") == F.col("fp_a")).select(F.col("head_a"), F.col("size_a"), F.col("name").alias("head_b"), F.col("size").alias("size_b"))
+    linked = fingerprint_links(heads.select("fp"), RADIUS).join(of("a"), F.col("a") == F.col("fp_a")).join(of("b"), F.col("b") == F.col("fp_b"))
+    both = stars.unionByName(linked.select(*stars.columns)).where("head_a <> head_b").where(_sizes_allow(F.col("size_a"), F.col("size_b")))
+    return both.select(F.least("head_a", "head_b").alias("a"), F.greatest("head_a", "head_b").alias("b")).distinct()
+
+
 def _of_several(rows: DataFrame, key: str, value: Column) -> DataFrame:
     """key_: the keys under which `value` differs."""
     met = rows.groupBy(F.col(key).alias("key_")).agg(F.min(value).alias("low"), F.max(value).alias("high"))
@@ -198,18 +220,22 @@ def group(docs: DataFrame, marked: DataFrame, text: str = "text", mark: str = "m
     spots = names.select("name", F.col("sketch")["size"].alias("size"), F.explode(F.col("sketch")["keys"]).alias("key"))
     several = stored(_of_several(spots, "key", F.col("name")), "keys")
     shared = stored(spots.join(several, F.col("key") == F.col("key_")).select("name", "size", "key"), "shared")
-    wanted = shared.select("name").distinct().join(names.select(F.col("name").alias("name_"), "mark"), F.col("name") == F.col("name_")).select("name", F.col("mark").alias("mark_"))
+    proposed = stored(fingerprint_pairs(named.select("name", F.col(sketch).alias("sketch"))), "proposed")
+    compared_names = shared.select("name").union(proposed.select("a")).union(proposed.select("b")).distinct()
+    wanted = compared_names.join(names.select(F.col("name").alias("name_"), "mark"), F.col("name") == F.col("name_")).select("name", F.col("mark").alias("mark_"))
     texts = docs.select(F.col(mark).alias("mark"), F.col(text).alias("text")).join(wanted, F.col("mark") == F.col("mark_")).dropDuplicates(["name"])
     sets = stored(with_sets(texts.select("name", "text")).select("name", "runs"), "sets")
 
-    links, parts, left = None, None, shared
-    for _ in range(ROUNDS):
+    links, parts, left = stored(_similar(proposed, sets), "near"), None, shared
+    for at in range(ROUNDS):
         pivots = left.groupBy("key").agg(F.min("name").alias("pivot"), F.max("name").alias("last"), F.min_by("size", "name").alias("pivot_size"))
         pivots = stored(pivots.where("pivot < last").withColumnRenamed("key", "key_"), "pivots")
         compared = stored(left.join(pivots, F.col("key") == F.col("key_")).select("name", "size", "key", "pivot", "pivot_size"), "compared")
         pairs = compared.where("name <> pivot").where(_sizes_allow(F.col("size"), F.col("pivot_size"))).select(F.col("pivot").alias("a"), F.col("name").alias("b")).distinct()
+        if at == 0:
+            pairs = pairs.join(proposed, ["a", "b"], "left_anti")
         found = stored(_similar(pairs, sets), "stars")
-        links = found if links is None else stored(links.unionByName(found), "links")
+        links = stored(links.unionByName(found), "links")
         parts = stored(components(links), "parts")
         pivot_parts = pivots.select("key_", "pivot").join(parts, F.col("pivot") == F.col("node"), "left").select(F.col("key_"), F.coalesce("root", "pivot").alias("pivot_part"))
         apart = _placed(compared.select("name", "size", "key"), parts).join(stored(pivot_parts, "pivots"), F.col("key") == F.col("key_"))

@@ -59,9 +59,8 @@ def shingle_hashes(text: bytes, words: int = 3, seed: int = 42) -> np.ndarray:
     return np.array([digest(joined[a:b], seed) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)], dtype="<u8")
 
 
-def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
-    """Signed 64 bits: bit i is set if it is set in over half the hashes of the shingles."""
-    hashes = shingle_hashes(text, words, seed)
+def voted(hashes: np.ndarray) -> int:
+    """Signed 64 bits: bit i is set if it is set in over half the hashes."""
     if not len(hashes):
         return 0
     votes = np.zeros(64, dtype=np.int64)
@@ -71,6 +70,11 @@ def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
     return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
+def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
+    """The vote of the hashes of a text's shingles."""
+    return voted(shingle_hashes(text, words, seed))
+
+
 def fingerprints(df: DataFrame, text: str = "text", out: str = "fp", words: int = 3, seed: int = 42) -> DataFrame:
     """Add `out`, the fingerprint of each whole text as a signed long."""
 
