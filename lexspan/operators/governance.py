@@ -14,6 +14,9 @@ OFFICIAL = "official_verified"
 LOCAL_ONLY = "local_checksum_only"
 SOURCE_FIELDS = ("source_name", "source_url", "source_verified_at", "source_verification_status")
 MATCH_KEYS = ("doc_id", "source_file", "source_checksum_sha256")
+# Values that a sketch of frequent ones tracks and gives, the least share of such a value
+# in the rows (one in so many), and the parts that its rows are dealt over.
+TRACKED, LISTED, ONE_IN, PARTS = 10_000, 100, 1_000, 64
 # ---------------------------------------------------------------------------
 
 
@@ -40,17 +43,43 @@ def validity_evidence(prefix: str = "") -> Column:
     )
 
 
-def first_match(items: DataFrame, registry: DataFrame) -> DataFrame:
+def frequent_values(items: DataFrame) -> dict[str, list]:
+    """Of each match key the values that many rows share, LISTED at most, in one pass."""
+    sketches = [F.call_function("approx_top_k", F.col(key), F.lit(LISTED), F.lit(TRACKED)).alias(key) for key in MATCH_KEYS]
+    seen = items.agg(F.count("*").alias("n"), *sketches).first()
+    return {key: [v["item"] for v in seen[key] or [] if v["item"] is not None and v["count"] * ONE_IN > seen["n"]] for key in MATCH_KEYS}
+
+
+def dealt_lookup(items: DataFrame, key: str, entries: DataFrame, on: str, frequent: list) -> DataFrame:
+    """Left join of items and `entries` by equality, in which no key gathers in one task.
+
+    Rows of a frequent value are dealt over PARTS parts, to each of which its entries are
+    copied; so are rows that can match nothing. Those of one task stay together, which
+    keeps them as compressible as they came.
+    """
+    anywhere = ~_filled(F.col(key)) | F.col(key).isin(frequent)
+    left = items.withColumn("_part", F.when(anywhere, F.pmod(F.spark_partition_id(), F.lit(PARTS))).otherwise(0))
+    copies = F.when(F.col(on).isin(frequent), F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
+    right = entries.withColumn("_copy", F.explode(copies))
+    return left.join(right, (F.col(key) == F.col(on)) & (F.col("_part") == F.col("_copy")), "left").drop("_part", "_copy")
+
+
+def smallest_entries(registry: DataFrame, key: str, value: str, idx: str) -> DataFrame:
+    """The smallest entry number of each value of a match key."""
+    return registry.where(_filled(F.col(key))).groupBy(F.col(key).alias(value)).agg(F.min("idx").alias(idx))
+
+
+def first_match(items: DataFrame, registry: DataFrame, frequent: dict[str, list] | None = None) -> DataFrame:
     """Adds `entry_idx`: the first registry entry sharing id, file or checksum.
 
     An OR condition would be a nested loop; instead each key gets its smallest
     entry number once and is joined by equality. No item is shuffled twice for
     the choice: the smallest of the three numbers wins.
     """
+    frequent = frequent or frequent_values(items)
     found = items
     for i, key in enumerate(MATCH_KEYS):
-        best = registry.where(_filled(F.col(key))).groupBy(F.col(key).alias(f"_k{i}")).agg(F.min("idx").alias(f"_i{i}"))
-        found = found.join(best, F.col(key) == F.col(f"_k{i}"), "left").drop(f"_k{i}")
+        found = dealt_lookup(found, key, smallest_entries(registry, key, f"_k{i}", f"_i{i}"), f"_k{i}", frequent[key]).drop(f"_k{i}")
     return found.withColumn("entry_idx", F.least("_i0", "_i1", "_i2")).drop("_i0", "_i1", "_i2")
 
 
@@ -63,7 +92,11 @@ def apply_registry(items: DataFrame, registry: DataFrame) -> DataFrame:
     missing = {n: F.lit(None).cast("string") for n in (*SOURCE_FIELDS, *VALIDITY_FIELDS) if n not in items.columns}
     items = items.withColumns(missing) if missing else items
     entries = registry.select(*[F.col(c).alias(f"reg_{c}") for c in registry.columns])
-    joined = first_match(items, registry).join(entries, F.col("entry_idx") == F.col("reg_idx"), "left")
+    frequent = frequent_values(items)
+    # An entry that many rows take is the first one of a frequent value.
+    firsts = [smallest_entries(registry, key, "value", "idx").where(F.col("value").isin(frequent[key])).select("idx") for key in MATCH_KEYS]
+    taken = [row.idx for row in reduce(DataFrame.union, firsts).distinct().collect()]
+    joined = dealt_lookup(first_match(items, registry, frequent), "entry_idx", entries, "reg_idx", taken)
     reg_sum = F.col("reg_source_checksum_sha256")
     same = ~_filled(reg_sum) | F.coalesce(reg_sum == F.col("source_checksum_sha256"), F.lit(False))
     official = F.coalesce(F.col("reg_source_verification_status") == OFFICIAL, F.lit(False))
