@@ -235,6 +235,19 @@ def exact_percentiles(values: DataFrame, keys: list[str], column: str, points: d
     return result
 
 
+def ordered_means(rows: DataFrame, keys: tuple[str, ...], column: str, order: tuple[str, ...]) -> DataFrame:
+    """Columns `keys, mean, n`: the mean of doubles added one by one in `order`, and the rows of the key.
+
+    Doubles added in another order give another sum in the last bits. A running sum over
+    sorted rows needs no list of a key's values in memory.
+    """
+    so_far = Window.partitionBy(*keys).orderBy(*order)
+    running = so_far.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = rows.select(*keys, F.avg(column).over(running).alias("mean"), F.count(F.lit(1)).over(running).alias("n"),
+                       F.lead(F.lit(1)).over(so_far).isNull().alias("last"))
+    return sums.where("last").select(*keys, "mean", "n")
+
+
 def aggregate_metrics(metrics: DataFrame, judged: DataFrame | None = None) -> DataFrame:
     """Mean per metric; judge metrics only over cases a judge could rate."""
     rows = metrics
