@@ -25,3 +25,23 @@ def test_report_adds_scores_in_order_of_events(spark, tmp_path):
         total += value
     assert f"- Score: {total / 8 / 100:.3f}" in lines and "- Pass rate: 0.00%" in lines
     assert lines.count("### u8 [FAIL]") == 1 and None in lines
+
+
+def test_lists_of_documents_are_joined_once_for_each_set_of_names(spark):
+    from lexspan.operators import analysis as an
+
+    texts = spark.createDataFrame([("a", "see x and y"), ("b", "see x and y"), ("a", "only z"), ("c", "none"), ("b", "see x and y")], "k string, text string")
+    terms = spark.createDataFrame([(f"d{i}", "x") for i in range(3)] + [("d1", "y"), ("e", "y"), ("f", "z")], "doc_id string, term string")
+    out = an.resolve_documents(texts, terms, "k", "|")
+    assert sorted((r["k"], r["doc_ids"]) for r in out.collect()) == [("a", "d0|d1|d2|e|f"), ("b", "d0|d1|d2|e")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Inner, (names") < plan.index("array_join")  # below the join, not for every row
+
+
+def test_long_lists_are_dealt_to_more_parts(spark):
+    from lexspan.operators import analysis as an
+
+    texts = spark.range(40).select(F.col("id").alias("k"), F.concat(F.lit("see x"), F.col("id") % 20, F.lit("y")).alias("text"))
+    terms = spark.range(400_000).select(F.concat(F.lit("document"), "id").alias("doc_id"), F.concat(F.lit("x"), F.col("id") % 20, F.lit("y")).alias("term"))
+    out = an.resolve_documents(texts, terms, "k", "|")
+    assert out.count() == 40 and out.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
