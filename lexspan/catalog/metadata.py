@@ -35,9 +35,9 @@ union all select doc_id || '_diem_' || article_no || '_2_a', 'diem', doc_id || '
   doc_id || '_document>' || doc_id || '_chuong_' || chapter_no || '>' || doc_id || '_muc_' || chapter_no || '_' || section_no || '>' || doc_id || '_dieu_' || article_no || '>' || doc_id || '_khoan_' || article_no || '_2',
   md5(t || '>' || cl || '>' || sl || '>Điều ' || article_no || ': ' || art_title || '>Khoản 2>Điểm a') from n where j % 5 = 3""")
 def nodes(spark, folder):
-    outlined, units = _parts(spark, folder)
+    units = st.units(_parts(spark, folder)[0], heads=True)
     docs = legal_texts(spark, folder).select("doc_id", F.concat(F.lit("Title "), "doc_id").alias("title"))
-    rows = md.nodes(docs, outlined, units)
+    rows = md.nodes(docs, None, units)
     return rows.select("node_id", "node_type", "parent_id", F.array_join("ancestor_ids", ">").alias("ancestors"),
                        F.md5(F.array_join("path", ">")).alias("path"))
 

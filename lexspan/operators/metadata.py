@@ -149,13 +149,14 @@ def document_metadata(docs: DataFrame) -> DataFrame:
     return docs.withColumn("issuer", F.when(F.col("doc_type") == "an_le", issuer).otherwise(F.col("issuer")))
 
 
-def nodes(docs: DataFrame, outlined: DataFrame, unit_rows: DataFrame) -> DataFrame:
+def nodes(docs: DataFrame, outlined: DataFrame | None, unit_rows: DataFrame) -> DataFrame:
     """The document tree as a flat table with ids, parents, ancestors and path.
 
-    `docs` has `doc_id, title`. Depth is fixed, so there is no recursion: each
-    level is a projection over columns carried by the unit rows.
+    `docs` has `doc_id, title`. Depth is fixed, so there is no recursion: all levels are
+    one projection over columns carried by the unit rows, which are read once. Without
+    `outlined` the unit rows have the headings too (`structure.units(outlined, heads=True)`).
     """
-    doc = F.col("doc_id")
+    doc, unit = F.col("doc_id"), F.col("unit")
     key = lambda kind, *parts: tx.node_key(doc, kind, *[F.col(p) for p in parts])
     doc_key = key("document")
     chapter_key = F.when(F.col("chapter_at").isNotNull(), key("chuong", "chapter_no"))
@@ -171,45 +172,35 @@ def nodes(docs: DataFrame, outlined: DataFrame, unit_rows: DataFrame) -> DataFra
     article_label = F.trim(F.concat(F.lit("Điều "), "article_no", F.lit(": "), F.coalesce("article_title", F.lit(""))))
     clause_label = F.concat(F.lit("Khoản "), "clause_no")
     point_label = F.concat(F.lit("Điểm "), "point_id")
-    chain = lambda *items: F.array_compact(F.array(*items))
+    levels = ("chapter", "section", "article", "clause", "point")
+    keys = (chapter_key, section_key, article_key, clause_key, point_key)
+    labels = (chapter_label, section_label, article_label, clause_label, point_label)
+    kinds = ("chuong", "muc", "dieu", "khoan", "diem")
+    by_unit = lambda values: F.coalesce(*[F.when(unit == u, v) for u, v in zip(levels, values)])
+    # Keys and labels of a row's own level and of those above it, made once.
+    own = {"_key": doc_key} | {f"_key{i}": F.when(unit.isin(*levels[i:]), k) for i, k in enumerate(keys)}
+    above = F.array_compact(F.array("_key", *[F.when(unit.isin(*levels[i + 1:]), F.col(f"_key{i}")) for i in range(len(keys) - 1)]))
+    path = F.array_compact(F.array(F.col("doc_title"), *[F.when(unit.isin(*levels[i:]), v) for i, v in enumerate(labels)]))
+    none = F.lit(None).cast("string")
 
-    def project(df, node_id, kind, ancestors, path, number, title):
-        return df.select(
-            "doc_id", node_id.alias("node_id"), F.lit(kind).alias("node_type"),
-            F.try_element_at(ancestors, F.lit(-1)).alias("parent_id"), ancestors.alias("ancestor_ids"),
-            path.alias("path"), number.cast("string").alias("number"), title.cast("string").alias("title"),
-        )
-
-    none = F.lit(None)
     titled = docs.select("doc_id", F.col("title").alias("doc_title"))
-    rows = unit_rows.join(titled, "doc_id")
-    heads = outlined.where(F.col("role").isin("chapter", "section") & ~F.col("stray")).join(titled, "doc_id")
-    name = F.col("doc_title")
-    return reduce(DataFrame.unionByName, [
-        project(titled, doc_key, "document", F.array().cast("array<string>"), F.array(name), none, none),
-        project(
-            heads.where(F.col("role") == "chapter"), chapter_key, "chuong", chain(doc_key),
-            chain(name, chapter_label), F.col("chapter_no"), F.col("chapter_title"),
-        ),
-        project(
-            heads.where(F.col("role") == "section"), section_key, "muc", chain(doc_key, chapter_key),
-            chain(name, chapter_label, section_label), F.col("section_no"), F.col("section_title"),
-        ),
-        project(
-            rows.where(F.col("unit") == "article"), article_key, "dieu", chain(doc_key, chapter_key, section_key),
-            chain(name, chapter_label, section_label, article_label), F.col("article_no"), F.col("article_title"),
-        ),
-        project(
-            rows.where(F.col("unit") == "clause"), clause_key, "khoan",
-            chain(doc_key, chapter_key, section_key, article_key),
-            chain(name, chapter_label, section_label, article_label, clause_label), F.col("clause_no"), none,
-        ),
-        project(
-            rows.where(F.col("unit") == "point"), point_key, "diem",
-            chain(doc_key, chapter_key, section_key, article_key, clause_key),
-            chain(name, chapter_label, section_label, article_label, clause_label, point_label), F.col("point_id"), none,
-        ),
-    ])
+    rows = unit_rows
+    if outlined is not None:
+        heads = outlined.where(F.col("role").isin("chapter", "section") & ~F.col("stray")).withColumn("unit", F.col("role"))
+        columns = ["doc_id", "unit", *[f"{level}_{part}" for level in levels[:3] for part in ("no", "title", "at")]]
+        rows = rows.unionByName(heads.select(*columns), allowMissingColumns=True)
+    tree = rows.where(unit.isin(*levels)).join(titled, "doc_id").withColumns(own).withColumn("_above", above).select(
+        "doc_id", by_unit([F.col(f"_key{i}") for i in range(len(keys))]).alias("node_id"), by_unit([F.lit(k) for k in kinds]).alias("node_type"),
+        F.try_element_at("_above", F.lit(-1)).alias("parent_id"), F.col("_above").alias("ancestor_ids"), path.alias("path"),
+        by_unit([F.col(c).cast("string") for c in ("chapter_no", "section_no", "article_no", "clause_no", "point_id")]).alias("number"),
+        by_unit([F.col(f"{level}_title").cast("string") for level in levels[:3]]).alias("title"),
+    )
+    root = titled.select(
+        "doc_id", doc_key.alias("node_id"), F.lit("document").alias("node_type"), none.alias("parent_id"),
+        F.array().cast("array<string>").alias("ancestor_ids"), F.array(F.col("doc_title")).alias("path"),
+        none.alias("number"), none.alias("title"),
+    )
+    return root.unionByName(tree)
 
 
 def keyword_metadata(precedents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -45,3 +45,22 @@ def test_long_lists_are_dealt_to_more_parts(spark):
     terms = spark.range(400_000).select(F.concat(F.lit("document"), "id").alias("doc_id"), F.concat(F.lit("x"), F.col("id") % 20, F.lit("y")).alias("term"))
     out = an.resolve_documents(texts, terms, "k", "|")
     assert out.count() == 40 and out.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+
+
+def test_node_tree_parses_once(spark):
+    from lexspan.catalog import metadata as mq
+
+    plan = mq.nodes(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate posexplode") == 1
+
+
+def test_headings_come_with_the_units_or_from_the_outline(spark):
+    from lexspan.operators import metadata as md
+    from lexspan.operators import structure as st
+
+    text = "Chương I. Một\nMục 1. Hai\nĐiều 1. Ba\n1. Bốn\na) Năm\nb) Sáu\nChương II. Bảy\nĐiều 2. Tám\nChín."
+    docs = spark.createDataFrame([(1, text, "T")], "doc_id long, text string, title string")
+    outlined = st.outline(st.parse_lines(docs))
+    once = md.nodes(docs, None, st.units(outlined, heads=True)).collect()
+    apart = md.nodes(docs, outlined, st.units(outlined)).collect()
+    assert sorted(map(repr, once)) == sorted(map(repr, apart)) and len(once) == 9
