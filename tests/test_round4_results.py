@@ -81,3 +81,15 @@ def test_files_beyond_one_value_are_digested(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
     assert seen == {name: hashlib.sha256(data).hexdigest() for name, data in held.items()}
+
+
+def test_kinds_of_chunks_come_from_one_parse(spark, monkeypatch):
+    from lexspan.catalog import chunking as cq
+
+    plans = []
+    counted = cq.ck.chunk_documents
+    monkeypatch.setattr(cq.ck, "chunk_documents", lambda units, forms, cases: plans.extend([units, forms]) or counted(units, forms, cases))
+    cq.all_kinds(spark, "/root/testdata/sf0.001")
+    assert len(plans) == 2
+    # Both start from lines or units that are there, not from the texts.
+    assert all("parquet" not in plan._jdf.queryExecution().optimizedPlan().toString() for plan in plans)
