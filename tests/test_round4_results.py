@@ -93,3 +93,20 @@ def test_kinds_of_chunks_come_from_one_parse(spark, monkeypatch):
     assert len(plans) == 2
     # Both start from lines or units that are there, not from the texts.
     assert all("parquet" not in plan._jdf.queryExecution().optimizedPlan().toString() for plan in plans)
+
+
+def test_authorities_are_scored_once(spark):
+    from lexspan.catalog import grounding as gq
+
+    plan = gq.primary_authorities(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" not in plan and "lower(" not in plan  # all steps start from the scored rows
+
+
+def test_targets_that_a_row_answers_are_numbered(spark):
+    from lexspan.operators import grounding as gr
+
+    rows = spark.createDataFrame(
+        [("c1", "Điều 5 Luật A", ["Điều 6", None, "Luật A"]), ("c2", "Điều 7", []), ("c3", None, ["zz"]), ("c4", "Điều 8", None)],
+        "chunk_id string, citation string, targets array<string>").selectExpr("*", "'d' as doc_id", "'' as number", "'' as title", "'' as article_title")
+    seen = {r.chunk_id: r.a for r in rows.select("chunk_id", gr.answered_targets(F.col("targets")).alias("a")).collect()}
+    assert seen == {"c1": [2], "c2": None, "c3": [], "c4": None}
