@@ -110,3 +110,26 @@ def test_targets_that_a_row_answers_are_numbered(spark):
         "chunk_id string, citation string, targets array<string>").selectExpr("*", "'d' as doc_id", "'' as number", "'' as title", "'' as article_title")
     seen = {r.chunk_id: r.a for r in rows.select("chunk_id", gr.answered_targets(F.col("targets")).alias("a")).collect()}
     assert seen == {"c1": [2], "c2": None, "c3": [], "c4": None}
+
+
+def test_scores_are_cut_before_they_are_shuffled(spark):
+    from lexspan.operators import lexical as lx
+    from lexspan.operators import ranking as rk
+
+    chunks = spark.range(300).select(
+        F.concat_ws("_", F.col("id") % 20, F.col("id")).alias("chunk_id"), F.concat(F.lit("alpha word"), F.col("id") % 7, F.lit(" word"), F.col("id") % 11).alias("text"))
+    index = lx.build_index(chunks).withColumn("doc_id", F.substring_index("chunk_id", "_", 1))
+    asked = spark.createDataFrame([("q1", "word3 word5"), ("q2", "word0 word9")], "query_id string, normalized_query string").selectExpr(
+        "*", "array() as query_variants", "array() as keywords", "array() as key_phrases")
+    asked = asked.withColumns({c: F.col(c).cast("array<string>") for c in ("query_variants", "keywords", "key_phrases")})
+
+    def best(scores):
+        return rk.diversify(scores.withColumns({"document_role": F.lit(""), "final": F.round("bm25", 6)}), 10)
+
+    together = best(lx.bm25(asked, index, by="doc_id"))
+    apart = best(lx.bm25(asked, index).withColumn("doc_id", F.substring_index("chunk_id", "_", 1)))
+    rows = lambda df: sorted((r.query_id, r["rank"], r.chunk_id, r.final) for r in df.collect())
+    assert rows(together) == rows(apart) and together.count() == 20
+    shuffles = [line for line in together._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in line]
+    assert not any("query_id" in line and ("doc_id" in line or "_w0" in line) for line in shuffles)
+    assert "WindowGroupLimit" in together._jdf.queryExecution().executedPlan().toString()
